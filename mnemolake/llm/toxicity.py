@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field tags toxic words; marginals give spans and document scores.
 
 Labels mark whole documents, so the tokens to learn from are labelled first: a word of a toxic document is
-toxic if it, or a prefix of it, occurs in many toxic sample documents and in next to no clean ones. The field's
+toxic if it, or a prefix of it, occurs in toxic sample documents far more often than chance allows. The field's
 two tags have transition weights and emission weights of hashed words, prefixes and suffixes. Each line of a
 text is a chain of its own.
 """
@@ -32,7 +32,9 @@ TOXIC = 0.5
 #: Marginal from which a word belongs to a span.
 SPAN = 0.5
 #: Evidence, in nats against chance, that a word or prefix must have to label tokens.
-EVIDENCE = 14.0
+EVIDENCE = 13.0
+#: Share of the documents with it that must be toxic.
+PRECISION = 0.9
 CACHE_WORDS = 400_000
 #: Words of a chain in fitting; scoring takes whole lines.
 FIT_WORDS = 64
@@ -163,8 +165,13 @@ def token_labels(docs: list[tuple[str | None, int]]) -> set[str]:
         (toxic if y else clean).update({p for w in words for p in parts_of(w) if p[0] != "s"})
     if not n[1] or not n[0]:
         return set()
-    chance = -np.log(max(n[1], 1) / (n[0] + n[1]))
-    return {p for p, c in toxic.items() if c * chance >= EVIDENCE and clean[p] <= 0.01 * c}
+    rate = n[1] / (n[0] + n[1])
+    out = set()
+    for p, c in toxic.items():
+        share = min(c / (c + clean[p]), 1 - 1e-12)
+        if share >= PRECISION and (c + clean[p]) * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate))) >= EVIDENCE:
+            out.add(p)
+    return out
 
 
 class ToxicityModel:

@@ -140,7 +140,7 @@ def test_held_out_accuracy(spark, which):
     q = quality.op4_quality if which == "quality" else toxicity.op7_toxicity
     got = q(spark, sf).join(common.table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
     label = got.quality if which == "quality" else got.toxic
-    assert len(got) > 500 and (got.predicted == label).mean() > 0.98 and got.score.between(0, 1).all()
+    assert len(got) > 500 and (got.predicted == label).mean() > 0.97 and got.score.between(0, 1).all()
 
 
 def test_classifier_edges(spark, odd, none):
