@@ -152,6 +152,7 @@ class QualityModel:
         raw = self.scores_raw([r for r, c in zip(rows, check) if c])
         both = len(set(y[check].tolist())) > 1
         self.a, self.b = logistic_1d(raw, y[check]) if both else (1.0, 0.0)
+        bucket.cache_clear()
 
     def row(self, f: tuple) -> tuple[np.ndarray, np.ndarray]:
         z = np.clip((np.array(f[2]) - self.mean) / self.scale, -4, 4)

@@ -9,6 +9,7 @@ text is a chain of its own.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,14 +36,14 @@ SPAN = 0.5
 EVIDENCE = 13.0
 #: Share of the documents with it that must be toxic.
 PRECISION = 0.9
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Words of a chain in fitting; scoring takes whole lines.
 FIT_WORDS = 64
 _EDGES = re.compile(r"^\W+|\W+$")
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=20_000)
 def parts_of(word: str) -> list[str]:
     """The features of a token: the word in lower case without marks around it, its prefixes and its suffix."""
     w = _EDGES.sub("", word.lower())
@@ -158,13 +159,18 @@ class ChainField:
 
 def token_labels(docs: list[tuple[str | None, int]]) -> set[str]:
     """The features (words and prefixes) that mark a token of a toxic document as toxic."""
-    toxic, clean, n = Counter(), Counter(), [0, 0]
-    for text, y in docs:
-        n[y] += 1
-        words = set((text or "").split())
-        (toxic if y else clean).update({p for w in words for p in parts_of(w) if p[0] != "s"})
+    n = [sum(y == 0 for _, y in docs), sum(y == 1 for _, y in docs)]
     if not n[1] or not n[0]:
         return set()
+    toxic: Counter = Counter()
+    for text, y in docs:
+        if y:
+            toxic.update({p for w in set((text or "").split()) for p in parts_of(w) if p[0] != "s"})
+    toxic = Counter({p: c for p, c in toxic.items() if c >= 3})  # fewer is no evidence at any rate
+    clean: Counter = Counter()
+    for text, y in docs:
+        if not y:
+            clean.update({p for w in set((text or "").split()) for p in parts_of(w) if p in toxic})
     rate = n[1] / (n[0] + n[1])
     out = set()
     for p, c in toxic.items():
@@ -191,7 +197,7 @@ class ToxicityModel:
 
         for text, label in docs:
             for line in (text or "").split("\n"):
-                words = line.split()
+                words = list(map(sys.intern, line.split()))  # one string for each different word
                 for i in range(0, len(words), FIT_WORDS):
                     some = words[i : i + FIT_WORDS]
                     t = [mark(w) for w in some] if label else [0] * len(some)
@@ -217,6 +223,8 @@ class ToxicityModel:
         self.a, self.b = 1.0, 0.0
         z = self.raw([t for t, _ in docs])
         self.a, self.b = logistic_1d(z, y.astype(float))
+        self.field.cache = {}
+        parts_of.cache_clear()
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
         return np.concatenate([self._raw(*self.field.tag(texts[i : i + 128])) for i in range(0, len(texts), 128)]) if texts else np.zeros(0)
