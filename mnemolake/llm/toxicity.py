@@ -12,7 +12,6 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +39,30 @@ CACHE_WORDS = 250_000
 #: Words of a chain in fitting; scoring takes whole lines.
 FIT_WORDS = 64
 _EDGES = re.compile(r"^\W+|\W+$")
+_hash = xxhash.xxh3_64_intdigest
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
 
 
-@lru_cache(maxsize=20_000)
 def parts_of(word: str) -> list[str]:
     """The features of a token: the word in lower case without marks around it, its prefixes and its suffix."""
-    w = _EDGES.sub("", word.lower())
-    return [f"w:{w}", *(f"{n}:{w[:n]}" for n in (3, 4, 5, 6) if len(w) > n), f"s:{w[-3:]}"]
+    w = word.lower()
+    if not w.isalnum():
+        w = _EDGES.sub("", w)
+    n = len(w)
+    out = ["w:" + w, "s:" + w[-3:]]
+    if n > 3:
+        out.append("3:" + w[:3])
+        if n > 4:
+            out.append("4:" + w[:4])
+            if n > 5:
+                out.append("5:" + w[:5])
+                if n > 6:
+                    out.append("6:" + w[:6])
+    return out
 
 
 def _ids(word: str) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(p) % BUCKETS for p in parts_of(word)]
+    return [_hash(p) % BUCKETS for p in parts_of(word)]
 
 
 def marginals(potential: np.ndarray, sizes: np.ndarray, trans: np.ndarray, with_odds: bool = False):
@@ -136,8 +147,9 @@ class ChainField:
             self.cache = {}
         found = list(map(self.cache.get, words))
         if None in found:
+            weight, bias = self.theta.item, float(self.bias)
             for w in {w for w, v in zip(words, found) if v is None}:
-                self.cache[w] = float(self.theta[_ids(w)].sum() + self.bias)
+                self.cache[w] = bias + sum([weight(_hash(p) % BUCKETS) for p in parts_of(w)])
             found = list(map(self.cache.__getitem__, words))
         return np.array(found, float)
 
@@ -168,9 +180,19 @@ def token_labels(docs: list[tuple[str | None, int]]) -> set[str]:
             toxic.update({p for w in set((text or "").split()) for p in parts_of(w) if p[0] != "s"})
     toxic = Counter({p: c for p, c in toxic.items() if c >= 3})  # fewer is no evidence at any rate
     clean: Counter = Counter()
+    shared: dict[str, tuple[str, ...]] = {}  # of a word, the parts that toxic documents have too
     for text, y in docs:
-        if not y:
-            clean.update({p for w in set((text or "").split()) for p in parts_of(w) if p in toxic})
+        if y:
+            continue
+        if len(shared) > CACHE_WORDS:
+            shared = {}
+        here: set[str] = set()
+        for w in set((text or "").split()):
+            found = shared.get(w)
+            if found is None:
+                found = shared[w] = tuple([p for p in parts_of(w) if p in toxic])
+            here.update(found)
+        clean.update(here)
     rate = n[1] / (n[0] + n[1])
     out = set()
     for p, c in toxic.items():
@@ -224,7 +246,6 @@ class ToxicityModel:
         z = self.raw([t for t, _ in docs])
         self.a, self.b = logistic_1d(z, y.astype(float))
         self.field.cache = {}
-        parts_of.cache_clear()
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
         return np.concatenate([self._raw(*self.field.tag(texts[i : i + 128])) for i in range(0, len(texts), 128)]) if texts else np.zeros(0)
