@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of a batch between a task and its Python worker at most: both sides hold a few batches at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 #: Rows of a side of a join that may be broadcast: two longs each, so 32 MB at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,6 +45,26 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def streamed(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches that BATCH bounds; a session's own lower bounds stay."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        now = conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
+_cached: list[Callable] = []
+
+
+def keep_only(clear: Callable | None = None) -> None:
+    """Says in a worker process whose caches are in use (by what clears them, if any); those of other operators are cleared."""
+    if _cached and _cached[0] != clear:
+        _cached[0]()
+    _cached[:] = [clear] if clear else []
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be small; otherwise the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import keep_only, streamed, table, written
 
 WINDOW = 10
 #: Words of benchmark items that one pass over the documents takes, about 200 MB of tables; further items take further passes.
 PASS_WORDS = 500_000
+#: The columns that a search adds.
+OWN = ("n_words", "spans", "items")
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b in range(0x30, 0x3A) or b in range(0x61, 0x7B) or b >= 0x80 else 32 for b in range(256))
 
@@ -92,14 +94,15 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(tables, window: int):
-    """Adds what one block of items hits to spans (pairs of ints in one list) and items."""
+def _pass(tables, window: int, own: tuple[str, str, str]):
+    """Adds what one block of items hits to the columns named by own: n_words, spans (pairs of ints in one list) and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         search = Searcher(tables.value, window).search
         for batch in batches:
             n_words, spans, items = [], [], []
-            for text, s, known in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+            for text, s, known in zip(batch.column("text"), batch.column(own[1]).to_pylist(), batch.column(own[2]).to_pylist()):
                 words = words_of(text.as_py())
                 found, ids = search(words)
                 n_words.append(len(words))
@@ -107,10 +110,9 @@ def _pass(tables, window: int):
                     found = merged([*zip(s[::2], s[1::2]), *found])
                 spans.append([x for span in found for x in span])
                 items.append(sorted({*known, *map(str, ids)}))
-            i = batch.schema.get_field_index
-            out = batch.set_column(i("n_words"), "n_words", pa.array(n_words, pa.int64()))
-            out = out.set_column(i("spans"), "spans", pa.array(spans, pa.list_(pa.int64())))
-            yield out.set_column(i("items"), "items", pa.array(items, pa.list_(pa.string())))
+            for name, column in zip(own, (pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())))):
+                batch = batch.set_column(batch.schema.get_field_index(name), name, column)
+            yield batch
 
     return run
 
@@ -123,18 +125,18 @@ def find_contamination(spark: SparkSession, documents: DataFrame, benchmark: Dat
     the documents, and only one block's items are on the driver and in a broadcast at a time. Nothing is shuffled. Repeated
     documents each get their own row.
     """
-    return _search(spark, documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, pass_words)
+    return _search(spark, documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, pass_words, OWN)
 
 
-def _search(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int, pass_words: int) -> DataFrame:
+def _search(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int, pass_words: int, own: tuple[str, str, str]) -> DataFrame:
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
     size = bench.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0))).first()[0]
     blocks = int(size // pass_words) + 1
-    docs = documents.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    docs = documents.select("*", *(v.cast(kind).alias(name) for v, kind, name in zip((F.lit(0), F.array(), F.array()), ("long", "array<long>", "array<string>"), own)))
     for b in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         tables = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-        docs = docs.mapInArrow(_pass(tables, window), docs.schema)
+        docs = streamed(docs, _pass(tables, window, own), docs.schema)
         if b < blocks - 1:
             docs = written(spark, docs, "decontaminate")
     return docs
@@ -142,12 +144,12 @@ def _search(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, win
 
 def drop_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents, all columns, without those in which any window occurs. Rows are judged one by one where they are."""
-    name = "_row"
-    while name in documents.columns:
-        name += "_"
-    packed = documents.select(F.struct(*documents.columns).alias(name), F.lit(None).cast("long").alias("doc_id"), "text")
-    found = _search(spark, packed, benchmark, window, PASS_WORDS)
-    return found.where(F.size("spans") == 0).select(f"{name}.*")
+    mark = "_"
+    while any(c.startswith(mark) for c in documents.columns):
+        mark += "_"
+    own = tuple(mark + c for c in OWN)
+    found = _search(spark, documents, benchmark, window, PASS_WORDS, own)
+    return found.where(F.size(own[1]) == 0).drop(*own)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import small, streamed, table, written
 from .url_filter import split_url
 
 #: Pages on which a token must stand for its class to count.
@@ -162,7 +162,7 @@ def templates(pages: DataFrame) -> DataFrame:
     Occurrence vectors are never gathered: each is summed into a fingerprint of (page, count), which map-side
     aggregation makes one row per task and token, so a host with most pages is no larger than others.
     """
-    seen = pages.mapInArrow(_tokens, "host string, kind long, slot long, token long, n long, lo long, hi long")
+    seen = streamed(pages, _tokens, "host string, kind long, slot long, token long, n long, lo long, hi long")
     vectors = seen.groupBy("host", "kind", "slot", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
     by_class = vectors.where(F.col("pages") >= MIN_PAGES).groupBy("host", "lo", "hi").agg(F.max((F.col("kind") == 0).cast("int")).alias("element"), F.collect_set(F.when(F.col("kind") == 1, F.col("token"))).alias("texts"))
     texts = by_class.where("element = 1 and size(texts) > 0").groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
@@ -201,7 +201,7 @@ def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), split_url(F.col("url"))[0].alias("host"))
     found = written(spark, templates(own.select("host", F.xxhash64("page_id", "url").alias("page"), "html")), "templates")
-    return own.join(small(found, 20_000), "host", "left").select("page_id", "url", "html", "texts", "slots").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return streamed(own.join(small(found, 20_000), "host", "left").select("page_id", "url", "html", "texts", "slots"), _extract, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, runs, small, table, written
+from .common import components, keep_only, runs, small, streamed, table, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -158,6 +158,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_only(_words.clear)
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
@@ -171,6 +172,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_only(_words.clear)
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             found = [shingles(t) for t in batch.column("text").slice(i, 512).to_pylist()]
@@ -217,7 +219,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, threshold: float
     Rows that repeat count each. Columns besides doc_id and text are ignored; an empty table gives no rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(spark, docs.mapInArrow(_signatures, "doc_id long, class long, n long, sig binary"), "signatures")
+    signed = written(spark, streamed(docs, _signatures, "doc_id long, class long, n long, sig binary"), "signatures")
     linked = signed.where("n > 0 and doc_id is not null")
     # 1. classes of equal sets, counted before they are shuffled
     classes = written(spark, linked.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
@@ -235,7 +237,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, threshold: float
     here = large.select("root", "level", F.col("parts").alias("k"))
     above = large.select("root", (F.col("level") - 1).alias("level"), F.col("parts").alias("up"))
     below = large.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("down"))
-    texts = docs.join(small(members.select(F.col("class_id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(_sets, "class long, shingles binary")
+    texts = streamed(docs.join(small(members.select(F.col("class_id").alias("doc_id")).distinct()), "doc_id", "left_semi"), _sets, "class long, shingles binary")
     own = F.pmod(F.xxhash64("class"), F.coalesce("k", F.lit(1))).cast("int")
     face = lambda a, i, b, j, side: F.struct(F.xxhash64("root", a, i, b, j).alias("block"), F.lit(side).alias("side"), F.lit(False).alias("alone"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -252,7 +254,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, threshold: float
     spread = spread.withColumn("level", F.when(F.col("k").isNull(), F.lit(None)).otherwise(F.col("level"))).withColumn("own", own).withColumn("up", F.when(F.col("k").isNotNull(), F.col("up"))).withColumn("down", F.when(F.col("k").isNotNull(), F.col("down")))
     faced = spread.select("class", "copies", "sig", F.explode(places).alias("p")).select("class", "copies", "sig", "p.*").join(texts, "class")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checked = written(spark, faced.repartition(n, "block").sortWithinPartitions("block", "class").mapInArrow(_verify(threshold, tolerance), "class long, links long, root long"), "links")
+    checked = written(spark, streamed(faced.repartition(n, "block").sortWithinPartitions("block", "class"), _verify(threshold, tolerance), "class long, links long, root long"), "links")
     sums = checked.groupBy("class").agg(F.sum("links").alias("links"))
     groups = components(spark, checked.select(F.col("class").alias("u"), F.col("root").alias("v")))
     ids = groups.join(classes.select(F.col("class").alias("node"), "class_id"), "node")

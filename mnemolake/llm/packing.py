@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import runs, table
+from .common import runs, streamed, table
 from .tokens import tokenizer
 
 LENGTH = 1024
@@ -110,7 +110,7 @@ def pack(spark: SparkSession, documents: DataFrame, tokenizer_path: str, length:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     groups = max(1, documents.count() // group_docs)
-    pieces = docs.mapInArrow(_pieces(tokenizer_path, length, groups), PIECES)
+    pieces = streamed(docs, _pieces(tokenizer_path, length, groups), PIECES)
     n = max(1, min(groups, int(spark.conf.get("spark.sql.shuffle.partitions"))) if groups < 200 else groups // 8)
     return pieces.repartition(n, "grp").sortWithinPartitions("grp", "doc_id", "start", "ids_crc32").mapInArrow(_packed(length), PACKED)
 

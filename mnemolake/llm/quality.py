@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import keep_only, remainder, streamed, table
 from .labelled import SAMPLE, training_sample
 
 BUCKETS = 1 << 16
@@ -191,12 +191,13 @@ def add_quality(spark: SparkSession, documents: DataFrame, model: QualityModel,
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(bucket.cache_clear)
         for batch in batches:
             chars = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * batch.num_rows
             scores = [s for i in range(0, batch.num_rows, 512) for s in shared.value.score(batch.column("text").slice(i, 512).to_pylist(), chars[i : i + 512])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
+    return streamed(documents, run, T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

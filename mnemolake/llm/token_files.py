@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, streamed
 from .tokens import tokenizer
 
 MAGIC = b"RPR1"
@@ -207,7 +207,7 @@ def write_tokens(spark: SparkSession, documents: DataFrame, path: str, tokenizer
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_encode(tokenizer_path, shard_tokens, min_count), SHARDS).write.parquet(path)
+    streamed(docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text"), _encode(tokenizer_path, shard_tokens, min_count), SHARDS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -239,7 +239,7 @@ def _decoded(spark: SparkSession, path: str, whole: bool) -> DataFrame:
         total += n
     base = spark.createDataFrame(before, "part int, base long")
     rest = "ids array<int>" if whole else "ids_crc32 long"
-    docs = shards.select("part", "local_start", "shard").mapInArrow(run, f"part int, doc_id long, local long, n_tokens long, {rest}")
+    docs = streamed(shards.select("part", "local_start", "shard"), run, f"part int, doc_id long, local long, n_tokens long, {rest}")
     return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", rest.split()[0])
 
 

@@ -7,6 +7,8 @@ import os
 import numpy as np
 import regex
 
+from .common import keep_only
+
 #: Words that one generation of a worker's cache holds; two generations are kept, about 200 MB.
 CACHE_WORDS = 500_000
 
@@ -137,6 +139,7 @@ _kept: dict[str, WordTokenizer] = {}
 
 def tokenizer(path: str) -> WordTokenizer:
     """One for each worker process and file."""
+    keep_only(_kept.clear)
     if path not in _kept:
         _kept[path] = WordTokenizer(path)
     return _kept[path]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, table
+from .common import keep_only, remainder, streamed, table
 from .labelled import training_sample
 from .quality import logistic_1d
 
@@ -315,6 +315,7 @@ def add_toxicity(spark: SparkSession, documents: DataFrame, model: ToxicityModel
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             scores, found = [], []
@@ -326,7 +327,7 @@ def add_toxicity(spark: SparkSession, documents: DataFrame, model: ToxicityModel
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), *more], [*batch.schema.names, name, *([spans] if spans else [])])
 
     fields = [*documents.schema.fields, T.StructField(name, T.DoubleType()), *([T.StructField(spans, SPANS)] if spans else [])]
-    return documents.mapInArrow(run, T.StructType(fields))
+    return streamed(documents, run, T.StructType(fields))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
