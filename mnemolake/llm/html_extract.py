@@ -1,9 +1,10 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
 Tokens are elements told apart by their path, and texts of blocks told apart by path and content. The pages of
-a host give each token an occurrence vector; tokens that share one form a class. A text that shares the vector
-of an element belongs to the template; paths nest the classes, and the slots between them hold what pages fill in.
-Slots of page furniture, and slots whose texts mostly recur on other pages, are left out.
+a host give each token an occurrence vector; tokens that share one form a class. Classes that are not in one order
+on all pages or do not nest are dropped. A text in a class belongs to the template, and the slots between the
+tokens of the classes hold what pages fill in. Slots whose texts mostly recur on other pages are left out; lists of
+elements and words give hints on the others.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .url_filter import split_url
 MIN_PAGES = 3
 #: Share of a slot's blocks that must recur on other pages for it to be furniture.
 RECUR = 0.5
+#: Share of a host's text, the template's too, above which an element is no furniture, whatever the lists say.
+MOST = 2 / 3
 
 # Fixed values of HTML: elements without content, with raw text, and those that stand inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,7 +48,7 @@ _BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tabl
 
 
 class Element:
-    __slots__ = ("furniture", "main", "name", "path")
+    __slots__ = ("furniture", "main", "name", "path", "region")
 
     def __init__(self, name: str, attrs: str, above: Element | None):
         self.name = name
@@ -58,15 +61,17 @@ class Element:
         outside = not inside and (name == "header" or bool(words & OUTSIDE))
         page = name in ("html", "body")
         self.furniture = bool(above and above.furniture) or name in FURNITURE or found.get("role", "") in ROLES or hidden or (not page and (bool(words & WORDS) or outside))
+        self.region = (above.region if above and above.furniture else self.path) if self.furniture else ""
         self.main = inside or ((name in MAIN or found.get("role") == "main" or found.get("itemprop") == "articlebody") and not self.furniture)
 
 
-def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter]:
-    """(element, text) of every block with text, in page order, and how often each path occurs."""
+def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter, list[tuple[Element, str | None]]]:
+    """(element, text) of every block with text, in page order, how often each path occurs, and blocks and elements (text None) in order."""
     source = source or ""
     stack: list[Element] = []
     blocks: list[tuple[Element, str]] = []
     paths: Counter = Counter()
+    events: list[tuple[Element, str | None]] = []
     root = Element("html", "", None)
     text: list[str] = []
     at = 0
@@ -76,6 +81,7 @@ def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter]:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
                 blocks.append((stack[-1] if stack else root, joined))
+                events.append(blocks[-1])
             text.clear()
 
     while True:
@@ -128,59 +134,205 @@ def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter]:
         else:
             stack.append(Element(name, m[3], stack[-1] if stack else root))
         paths[stack[-1].path] += 1
+        events.append((stack[-1], None))
     flush()
-    return blocks, paths
+    return blocks, paths, events
 
 
 def _key(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each token of each page: kind 0 is an element, kind 1 a block's text."""
-    names = ["host", "kind", "slot", "token", "n", "lo", "hi"]
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part, cols = batch.slice(i, 256), [[] for _ in names]
-            for host, page, source in zip(*(part.column(c).to_pylist() for c in ("host", "page", "html"))):
-                blocks, paths = blocks_of(source)
-                found: Counter = Counter()
-                for path, n in paths.items():
-                    found[0, _key(path), _key(path)] += n
-                for element, text in blocks:
-                    found[1, _key(element.path), _key(element.path, text)] += 1
-                for (kind, slot, token), n in found.items():
-                    seen = xxhash.xxh3_64_intdigest(f"{page} {n}")
-                    for col, v in zip(cols, (host, kind, slot, token, n, seen & 0xFFFFFFFF, seen >> 32)):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names)
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """host, texts (tokens of template texts), slots (furniture found by recurring texts), from pages (host, page, html).
+def _walk(tokens: list[int], place: dict[int, tuple[int, int, int]]) -> tuple[list[tuple[int, int]], dict[int, set]]:
+    """For each token the (class, gap) it stands in, and of each class the gaps it opens in; None marks one that overlaps another.
+
+    place: token -> (class, position in its order, tokens of the class).
+    """
+    stack: list[list[int]] = []
+    gaps: list[tuple[int, int]] = []
+    above: dict[int, set] = {}
+    sizes = {cls: size for cls, _, size in place.values()}
+    for t in tokens:
+        at = place.get(t)
+        if at is None or at[1] == 0:
+            gaps.append((stack[-1][0], stack[-1][1]) if stack else (0, 0))
+        if at is None:
+            continue
+        cls, i, size = at
+        if i == 0:
+            above.setdefault(cls, set()).add(gaps[-1])
+            stack.append([cls, 0])
+        else:
+            while stack and stack[-1][0] != cls:  # overlaps; the smaller class goes
+                above.setdefault(min(cls, stack.pop()[0], key=lambda c: (sizes[c], c)), set()).add(None)
+            if not stack:
+                stack.append([cls, i])
+            stack[-1][1] = i
+            gaps.append((cls, i))
+            if i == size - 1:
+                stack.pop()
+    return gaps, above
+
+
+def _placed(orders: list[list[int]] | None) -> dict[int, tuple[int, int, int]]:
+    return {t: (_key(*map(str, o)), i, len(o)) for o in orders or () for i, t in enumerate(o)}
+
+
+def _slot(gap: tuple[int, int], path: int) -> int:
+    return _key(str(gap[0]), str(gap[1]), str(path))
+
+
+_PAGE = "host string, page long, tokens array<long>, paths array<long>, hints array<int>, regions array<long>, chars array<int>"
+
+
+def _page(source: str | None) -> tuple[list, list, list, list, list]:
+    """tokens of a page in order; for texts also the path, the hint of the lists (1 furniture, 2 main), its outermost element, and characters."""
+    tokens, paths, hints, regions, chars = [], [], [], [], []
+    for element, text in blocks_of(source)[2]:
+        own = _key(element.path)
+        tokens.append(own if text is None else _key(element.path, text))
+        paths.append(own if text is not None else 0)
+        hints.append(element.furniture + 2 * element.main)
+        regions.append(_key(element.region) if element.region else 0)
+        chars.append(len(text or ""))
+    return tokens, paths, hints, regions, chars
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
+
+
+def _each(columns: tuple[str, ...], rows_of, schema: str):
+    """Runs rows_of(values of a row) over batches, 256 rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield _batch([r for row in zip(*(part.column(c).to_pylist() for c in columns)) for r in rows_of(*row)], schema)
+
+    return run
+
+
+def _seen(host, page, tokens, paths):
+    found = Counter((t, p != 0) for t, p in zip(tokens, paths))
+    for (t, text), n in found.items():
+        h = xxhash.xxh3_64_intdigest(f"{page} {n}")
+        yield host, t, int(text), h & 0xFFFFFFFF, h >> 32
+
+
+def _orders(host, tokens, members):
+    """The order of each class on a page; empty where its tokens do not repeat in one order."""
+    cls = {t: i for i, m in enumerate(members) for t in m}
+    runs: dict[int, list[int]] = {}
+    for t in tokens:
+        if t in cls:
+            runs.setdefault(cls[t], []).append(t)
+    for i, run in runs.items():
+        k = len(members[i])
+        first = run[:k]
+        yield host, min(members[i]), first if len(set(first)) == k and run == first * (len(run) // k) else []
+
+
+def _nests(host, tokens, orders):
+    place = _placed(orders)
+    for cls, gaps in _walk(tokens, place)[1].items():
+        for g in gaps:
+            yield host, cls, _key("overlaps") if g is None else _key(*map(str, g)), int(g is None)
+
+
+def _filled(host, tokens, paths, hints, regions, chars, orders):
+    """The texts of a page by slot, first being 1 once a slot; those of the template in slot 0."""
+    place = _placed(orders)
+    found: dict[tuple, list[int]] = {}
+    for t, gap, path, hint, region, n in zip(tokens, _walk(tokens, place)[0], paths, hints, regions, chars):
+        if path:
+            at = found.setdefault((0 if t in place else _slot(gap, path), t, hint, region), [0, 0])
+            at[0] += 1
+            at[1] += n
+    begun = set()
+    for (slot, t, hint, region), (n, c) in found.items():
+        yield host, slot, t, hint, region, n, c, int(slot not in begun)
+        begun.add(slot)
+
+
+def classes(spark: SparkSession, parsed: DataFrame) -> DataFrame:
+    """host, orders: the valid classes of each host, as their tokens in order.
 
     Occurrence vectors are never gathered: each is summed into a fingerprint of (page, count), which map-side
-    aggregation makes one row per task and token, so a host with most pages is no larger than others.
+    aggregation makes one row per task and token, so a host with most pages is no larger than others. A class has
+    two tokens at least, an element among them. It is valid if its tokens repeat in one order on every page, and
+    all its occurrences lie in one gap of the other valid classes; the rest go, until none does.
     """
-    seen = streamed(pages, _tokens, "host string, kind long, slot long, token long, n long, lo long, hi long")
-    vectors = seen.groupBy("host", "kind", "slot", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
-    by_class = vectors.where(F.col("pages") >= MIN_PAGES).groupBy("host", "lo", "hi").agg(F.max((F.col("kind") == 0).cast("int")).alias("element"), F.collect_set(F.when(F.col("kind") == 1, F.col("token"))).alias("texts"))
-    texts = by_class.where("element = 1 and size(texts) > 0").groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("texts"))
-    blocks = vectors.where("kind = 1").groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.sum(F.when(F.col("pages") > 1, F.col("n")).otherwise(0)).alias("again"))
-    slots = blocks.where((F.col("pages") >= MIN_PAGES) & (F.col("again") > RECUR * F.col("n"))).groupBy("host").agg(F.collect_set("slot").alias("slots"))
-    return texts.join(slots, "host", "full_outer")
-
-
-def main_text(source: str | None, texts: set[int] = frozenset(), slots: set[int] = frozenset()) -> str:
-    """What the slots of a page hold that are no furniture, in page order; inside its article if it has one."""
-    blocks, _ = blocks_of(source)
-    kept = [(e, t) for e, t in blocks if not e.furniture]
-    inside = [(e, t) for e, t in kept if e.main]
-    if inside:
-        kept, slots = inside, frozenset()
-    filled = [t for e, t in kept if _key(e.path, t) not in texts and _key(e.path) not in slots]
-    if not filled:  # all of it recurs, as where a host repeats one page
-        filled = [t for _, t in kept]
+    schema = "host string, token long, text int, lo long, hi long"
+    vectors = streamed(parsed.select("host", "page", "tokens", "paths"), _each(("host", "page", "tokens", "paths"), _seen, schema), schema).groupBy("host", "token", "text").agg(F.count(F.lit(1)).alias("pages"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    members = vectors.where(F.col("pages") >= MIN_PAGES).groupBy("host", "lo", "hi").agg(F.min("text").alias("text"), F.collect_set("token").alias("tokens")).where("text = 0 and size(tokens) > 1")
+    members = written(spark, members.groupBy("host").agg(F.collect_list("tokens").alias("members")), "classes")
+    schema = "host string, cls long, order array<long>"
+    seen = streamed(parsed.select("host", "tokens").join(small(members, 20_000), "host"), _each(("host", "tokens", "members"), _orders, schema), schema)
+    ordered = seen.groupBy("host", "cls").agg(F.min("order").alias("order"), F.max("order").alias("last")).where("order = last and size(order) > 1")
+    now = written(spark, ordered.groupBy("host").agg(F.collect_list("order").alias("orders")), "orders")
+    schema, left = "host string, cls long, gap long, overlaps int", "host string, orders array<array<long>>"
+    while True:
+        seen = streamed(parsed.select("host", "tokens").join(small(now, 20_000), "host"), _each(("host", "tokens", "orders"), _nests, schema), schema)
+        bad = written(spark, seen.groupBy("host", "cls").agg(F.min("gap").alias("gap"), F.max("gap").alias("last"), F.max("overlaps").alias("overlaps")).where("gap <> last or overlaps = 1").groupBy("host").agg(F.collect_set("cls").alias("bad")), "overlaps")
+        if bad.isEmpty():
+            return now
+        rest = now.join(bad, "host", "left").select("host", "orders", F.coalesce("bad", F.array().cast("array<long>")).alias("bad"))
+        now = written(spark, streamed(rest, _valid, left), "orders")
+
+
+def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left = [[o for o in orders if _key(*map(str, o)) not in set(bad)] for orders, bad in zip(batch.column("orders").to_pylist(), batch.column("bad").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(left, pa.list_(pa.list_(pa.int64())))], ["host", "orders"])
+
+
+def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """host, orders (valid classes), keep, leave (slots with main text, slots of furniture), from pages (host, page, html).
+
+    A slot is a path in a gap between two tokens of a class. It is left out if most of its blocks recur on other
+    pages, in article or main on two others. The lists only hint: their furniture is left out unless its outermost element holds over MOST of the
+    host's text in slots that do not recur; what is outside article or main goes too if those hold over half of the rest.
+    """
+    parsed = written(spark, streamed(pages, _each(("host", "page", "html"), lambda host, page, html: [(host, page, *_page(html))], _PAGE), _PAGE), "pages")
+    orders = classes(spark, parsed)
+    schema = "host string, slot long, token long, hint int, region long, n long, chars long, first int"
+    names = ("host", "tokens", "paths", "hints", "regions", "chars", "orders")
+    filled = streamed(parsed.drop("page").join(small(orders, 20_000), "host", "left").select(*names), _each(names, _filled, schema), schema)
+    texts = filled.groupBy("host", "slot", "token", "hint", "region").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("first").alias("first"))
+    total = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
+    furniture, main = F.col("hint").bitwiseAND(1) == 1, F.col("hint").bitwiseAND(2) == 2
+    again = F.col("pages") >= F.when(main, MIN_PAGES).otherwise(2)
+    slots = texts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("first").alias("pages"), total("n", again).alias("again"), total("n", furniture).alias("furniture"), total("n", main).alias("main"), F.max("region").alias("region"), F.sum("chars").alias("chars"))
+    slots = written(spark, slots.select("host", "slot", "pages", (F.col("again") > RECUR * F.col("n")).alias("recurs"), (F.col("furniture") * 2 > F.col("n")).alias("furniture"), (F.col("main") * 2 > F.col("n")).alias("main"), "region", "chars"), "slots")
+    hosts = slots.groupBy("host").agg(F.sum("chars").alias("all"), total("chars", (F.col("slot") != 0) & ~F.col("furniture")).alias("plain"), total("chars", (F.col("slot") != 0) & ~F.col("furniture") & F.col("main")).alias("inside"))
+    regions = slots.where("furniture and not recurs").groupBy("host", "region").agg(F.sum("chars").alias("held"))
+    judged = slots.where(F.col("pages") >= MIN_PAGES).join(hosts, "host", "left").join(regions, ["host", "region"], "left")
+    kept = ~F.col("recurs") & F.when(F.col("furniture"), F.col("held") > MOST * F.col("all")).otherwise(F.col("main") | (F.col("inside") * 2 <= F.col("plain")))
+    verdicts = judged.groupBy("host").agg(F.collect_set(F.when(kept, F.col("slot"))).alias("keep"), F.collect_set(F.when(~kept, F.col("slot"))).alias("leave"))
+    return orders.join(verdicts, "host", "full_outer")
+
+
+def main_text(source: str | None, orders: list[list[int]] = (), keep: set[int] = frozenset(), leave: set[int] = frozenset()) -> str:
+    """What the slots of a page hold that are no furniture, in page order; the lists decide on slots of no verdict only."""
+    blocks, _, events = blocks_of(source)
+    place = _placed(orders)
+    inside = any(e.main and not e.furniture for e, _ in blocks)
+    listed = lambda e: not e.furniture and (e.main or not inside)
+    filled = []
+    if place or keep or leave:
+        tokens = [_key(e.path) if t is None else _key(e.path, t) for e, t in events]
+        for (e, text), token, gap in zip(events, tokens, _walk(tokens, place)[0]):
+            if text is None or token in place:
+                continue
+            slot = _slot(gap, _key(e.path))
+            if slot in keep or (slot not in leave and listed(e)):
+                filled.append(text)
+    if not filled:  # no template, or all of it recurs, as where a host repeats one page
+        filled = [t for e, t in blocks if listed(e)]
     return " ".join(filled)
 
 
@@ -188,7 +340,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            out = [main_text(s, set(t or ()), set(u or ())) for s, t, u in zip(*(part.column(c).to_pylist() for c in ("html", "texts", "slots")))]
+            out = [main_text(s, o or (), set(k or ()), set(v or ())) for s, o, k, v in zip(*(part.column(c).to_pylist() for c in ("html", "orders", "keep", "leave")))]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -197,11 +349,11 @@ def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     A null html is empty and has an empty text, a null url belongs to the host "" like one without `://`. Repeated
     pages count again in their host's template. Hosts with fewer than three pages have no template of their
-    own; the elements alone tell their furniture.
+    own; the lists alone tell their furniture.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), split_url(F.col("url"))[0].alias("host"))
-    found = written(spark, templates(own.select("host", F.xxhash64("page_id", "url").alias("page"), "html")), "templates")
-    return streamed(own.join(small(found, 20_000), "host", "left").select("page_id", "url", "html", "texts", "slots"), _extract, "page_id long, url string, text string, n_chars long")
+    found = written(spark, templates(spark, own.select("host", F.xxhash64("page_id", "url").alias("page"), "html")), "templates")
+    return streamed(own.join(small(found, 20_000), "host", "left").select("page_id", "url", "html", "orders", "keep", "leave"), _extract, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,23 @@ def test_html(spark):
     assert html_extract.main_text("<main><header><h1>T</h1></header><p>a<p>b<div class=comments>c</div><aside>d</aside></main><footer>e</footer>") == "T a b"
 
 
+def test_html_slots_decide_inside_articles(spark):
+    teasers = ["Ten things to know", "A second teaser", "The third one"]
+    page = "<html><body><nav><p>Home</p></nav><article><div class='elementor-widget-container'><h1>Title {0}</h1><p>Body {0} of some length, and words {0} of its own, on and on about what this page {0} alone is for</p></div><ul><li>{1}</li><li>{2}</li></ul><b>Fixed</b></article><div class=ad><p>Buy {0}</p></div></body></html>"
+    df = spark.createDataFrame([(i, "http://h.com/a", page.format(i, teasers[i % 3], teasers[(i // 2) % 3])) for i in range(9)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark, df).collect()}
+    assert got[4] == "Title 4 Body 4 of some length, and words 4 of its own, on and on about what this page 4 alone is for"
+
+
+def test_html_classes_are_ordered_and_nested():
+    a, b, c, d = 1, 2, 3, 4
+    assert [o for _, _, o in html_extract._orders("h", [a, c, b, a, b], [[b, a]])] == [[a, b]]
+    assert [o for _, _, o in html_extract._orders("h", [a, b, b, a], [[b, a]])] == [[]]
+    nested = html_extract._nests("h", [a, c, d, c, d, b], [[a, b], [c, d]])
+    assert not any(overlaps for *_, overlaps in nested)
+    assert sum(overlaps for *_, overlaps in html_extract._nests("h", [a, c, b, d], [[a, b], [c, d]])) == 1
+
+
 # 10
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
