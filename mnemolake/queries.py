@@ -285,7 +285,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("embed_documents")
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
-    return embedding.with_vectors(table(spark, d, "benchmark"), embedding.hash_embedder(), long_texts=chunking.MARKDOWN).select("item_id", "vector")
+    return embedding.with_vectors(table(spark, d, "documents").select("doc_id", "text"), embedding.hash_embedder(), long_texts=chunking.MARKDOWN).select("doc_id", "vector")
 
 
 @query("embed_mean", "SELECT label, pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, pos")

@@ -125,6 +125,22 @@ def test_embeddings_and_cache(spark):
     assert full.count() == 2 and fresh.count() == 1
 
 
+def test_embed_documents_takes_every_document(spark):
+    embed = embedding.hash_embedder()
+    got = {r.doc_id: r.vector for r in queries.QUERIES["embed_documents"](spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert got.keys() == texts.keys()
+    long = max(texts, key=lambda i: len(texts[i] or ""))
+    parts = embed([c for c, _, _ in chunking.chunk(texts[long], chunking.MARKDOWN)])
+    assert len(parts) > 1 and got[long] == pytest.approx([sum(x) / len(parts) for x in zip(*parts)], abs=1e-6)
+
+
+def test_embeddings_of_benchmark_items(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").limit(3)
+    rows = embedding.with_vectors(items, embedding.hash_embedder(), long_texts=chunking.MARKDOWN).collect()
+    assert len(rows) == 3 and all(r.vector == pytest.approx(embedding.hash_embedder()([r.text])[0], abs=1e-6) for r in rows)
+
+
 def test_vector_search_plan_is_take_ordered(spark):
     plan = queries.QUERIES["vector_topk"](spark, SF)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
