@@ -17,6 +17,8 @@ from .streaming import ingest
 QUERY_ID = 7
 TERMS = ["the", "of", "thing"]
 BATCH_IDS = (1, 7, 42, 99)
+#: vector_topk_batch_all takes every row whose id this divides as a query.
+BATCH_EVERY = 50
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -81,6 +83,15 @@ def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk_batch(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), qs, 10).select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
+@query("vector_topk_batch_all", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS qid, e.vec_id AS id, {_DIST.format("e.v", "q.v")} AS dist FROM e, e q WHERE q.vec_id % {BATCH_EVERY} = 0)
+SELECT qid, id, round(dist, 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM s QUALIFY rank <= 10""")
+def vector_topk_batch_all(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    qs = e.where(F.col("vec_id") % BATCH_EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    return search.vector_topk_blocks(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), qs, 10).select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("cosine_scores", f"""WITH {_Q} SELECT vec_id, round({_COS.format("v", "qv")}, 6) AS cos FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q""")
 def cosine_scores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(S.cosine(F.col("embedding"), S.query_vector(_vector(spark, d))), 6).alias("cos"))

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from mnemolake import queries
 from mnemolake.functions import chunking, embedding
 from mnemolake.functions import text as X
-from mnemolake.operators import turns
+from mnemolake.operators import search, turns
 from mnemolake.operators.store import Store, by_prefix
 from mnemolake.plans import config
 from mnemolake.sources import transcripts
@@ -141,6 +141,15 @@ def test_embeddings_of_benchmark_items(spark):
     assert len(rows) == 3 and all(r.vector == pytest.approx(embedding.hash_embedder()([r.text])[0], abs=1e-6) for r in rows)
 
 
+def test_batch_search_takes_every_fiftieth_row(spark):
+    same_rows(spark, "vector_topk_batch_all")
+    ids = {r.qid for r in queries.QUERIES["vector_topk_batch_all"](spark, SF).collect()}
+    assert ids == {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    qs = e.where("id < 9").selectExpr("id AS qid", "vector AS query")
+    assert sorted(search.vector_topk_blocks(e, qs, 3, 2).collect()) == sorted(search.vector_topk_batch(e, qs, 3).collect())
+
+
 def test_vector_search_plan_is_take_ordered(spark):
     plan = queries.QUERIES["vector_topk"](spark, SF)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
