@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table
@@ -216,8 +217,8 @@ def _inline(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
-def scan_paragraphs(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), paragraph, family, probability, coverage of every paragraph (line) with an anchor.
+def _judged(spark: SparkSession, words: DataFrame, key: list[str]) -> DataFrame:
+    """key, family, probability, coverage, found (n-grams of the best template) of rows (key, words) that share an n-gram with the model.
 
     The family is unknown where the best one is not probable enough or no template of it confirms. The n-gram
     tables come from the constants of this module, under 2,000 rows, and are broadcast.
@@ -226,34 +227,97 @@ def scan_paragraphs(spark: SparkSession, documents: DataFrame) -> DataFrame:
     k = len(FAMILIES)
     vocabulary = F.broadcast(_inline(spark, [{"gram": g, "w": w, "t": [i for i, (_, own) in enumerate(m.templates) if g in own]} for g, w in m.vocabulary.items()], "gram:string,w:array<int>,t:array<int>"))
     sizes = F.broadcast(_inline(spark, [{"tmpl": i, "fam": f, "size": len(own)} for i, (f, own) in enumerate(m.templates)], "tmpl:int,fam:int,size:int"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(_anchored(F.col("text")))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_anchored(F.col("line")))
-    words = lines.select("doc_id", "h", "paragraph", _words(F.col("line")).alias("words"))
     stop = F.array(*map(F.lit, sorted(STOP)))
     some = [F.filter("words", lambda w: ~F.array_contains(stop, w))]
     some += [_runs_of(n) for n in range(2, MAX_N + 1)]
-    found = words.select("doc_id", "h", "paragraph", F.explode(F.array_distinct(F.concat(*some))).alias("gram")).join(vocabulary, "gram").drop_duplicates(["doc_id", "h", "paragraph", "gram"])
-    key = ["doc_id", "h", "paragraph"]
+    found = words.select(*key, F.explode(F.array_distinct(F.concat(*some))).alias("gram")).join(vocabulary, "gram").drop_duplicates([*key, "gram"])
     scored = found.groupBy(*key).agg(*(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)))
     z = [(F.col(f"s{i}") + m.bias[i]) / 1000.0 for i in range(k)]
     scored = scored.select(*key, F.array(*z).alias("z"))
     top = F.array_max("z")
     share = 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top))
     scored = scored.select(*key, (F.array_position("z", top) - 1).cast("int").alias("best"), share.alias("probability"))
-    cover = found.select(*key, F.explode("t").alias("tmpl")).groupBy(*key, "tmpl").count().join(sizes, "tmpl").groupBy(*key, "fam").agg(F.max(F.col("count") / F.col("size")).alias("coverage"))
-    both = scored.alias("s").join(cover.alias("c"), F.expr("s.doc_id <=> c.doc_id and s.h = c.h and s.paragraph = c.paragraph and s.best = c.fam"), "left").select("s.*", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    cover = found.select(*key, F.explode("t").alias("tmpl")).groupBy(*key, "tmpl").count().join(sizes, "tmpl").groupBy(*key, "fam").agg(F.max(F.struct((F.col("count") / F.col("size")).alias("coverage"), "count")).alias("top")).select(*key, "fam", "top.*")
+    both = scored.alias("s").join(cover.alias("c"), F.expr(" and ".join(f"s.{c} <=> c.{c}" for c in key) + " and s.best = c.fam"), "left").select("s.*", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("count", F.lit(0)).alias("found"))
     sure = (F.col("probability") >= m.threshold) & (F.col("coverage") >= CONFIRM) & (F.col("best") < k - 1)
     names = F.array(*map(F.lit, FAMILIES))
-    return both.select(*key, F.when(sure, names[F.col("best")]).otherwise(UNKNOWN).alias("family"), "probability", "coverage")
+    return both.select(*key, F.when(sure, names[F.col("best")]).otherwise(UNKNOWN).alias("family"), "probability", "coverage", "found")
+
+
+#: Words of the longest template: between its first and last line, a wrapped notice has fewer.
+LONGEST = max(len(t.split()) for notes in TEMPLATES.values() for t in notes)
+
+
+def _lines(text: Column) -> Column:
+    """Whether a line may hold an anchor or the last word of one that is cut by a line end."""
+    low = F.lower(text)
+    return _anchored(text) | low.contains("domain") | low.contains("reserved")
+
+
+def scan_paragraphs(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), paragraph, family, probability, coverage of every paragraph (line) with an anchor.
+
+    Lines that a wrapped notice (scan_wrapped) takes are left to it.
+    """
+    key = ["doc_id", "h", "paragraph"]
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(_anchored(F.col("text")))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_anchored(F.col("line")))
+    return _judged(spark, lines.select(*key, _words(F.col("line")).alias("words")), key)
+
+
+def scan_wrapped(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """doc_id, h, first, last (lines), family, probability, coverage, found of every run of lines that together hold a notice.
+
+    A run has no blank line, an anchor, and fewer words between its first and last line than the longest template;
+    of these two lines only as many words count, so that the prose around a notice does not drown it.
+    """
+    key = ["doc_id", "h", "first", "last"]
+    n = LONGEST
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(_lines(F.col("text")) & F.col("text").contains("\n")).select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
+    at = docs.select("doc_id", "h", "lines", F.explode(F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _lines(F.col("lines")[i]))).alias("at"))
+    low = F.greatest(F.lit(0), F.col("at") - n)
+    near = at.select("doc_id", "h", "at", low.alias("low"), F.transform(F.slice("lines", low + 1, F.lit(2 * n + 1)), _words).alias("near"))
+    sized = near.select("*", F.transform("near", lambda w: F.size(w)).alias("sizes"))
+
+    def joined(first: Column, last: Column) -> Column:  # no blank line, and few words between
+        own = F.slice("sizes", first - F.col("low") + 1, last - first + 1)
+        inner = F.slice("sizes", first - F.col("low") + 2, F.greatest(last - first - 1, F.lit(0)))
+        return ~F.array_contains(own, 0) & (F.aggregate(inner, F.lit(0), lambda x, y: x + y) < n)
+
+    starts = F.filter(F.sequence("low", "at"), lambda i: joined(i, F.col("at")))
+    ends = F.filter(F.sequence(F.col("at"), F.col("low") + F.size("near") - 1), lambda i: joined(F.col("at"), i))
+    spans = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: (j > i) & joined(i, j)), lambda j: F.struct(i.alias("first"), j.alias("last")))))
+    spans = sized.select("doc_id", "h", "low", "near", F.explode(spans).alias("span"))
+    run = spans.select("doc_id", "h", "span.*", F.expr("slice(near, span.first - low + 1, span.last - span.first + 1)").alias("run"))
+    tail = F.expr(f"slice(run[0], greatest(1, size(run[0]) - {n - 1}), {n})")
+    whole = run.select(*key, F.concat(tail, F.flatten(F.expr("slice(run, 2, size(run) - 2)")), F.expr(f"slice(run[size(run) - 1], 1, {n})")).alias("words")).drop_duplicates(key)
+    return _judged(spark, whole, key).where(F.col("family") != UNKNOWN)
+
+
+def _notices(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """doc_id, h, family of every line and wrapped notice.
+
+    A run of lines counts if it holds more of a template than any line of it alone and any run that overlaps it
+    (of equals the shorter, then the first); the lines with anchors in it do not count on their own.
+    """
+    lines = scan_paragraphs(spark, documents).select("doc_id", "h", F.col("paragraph").alias("first"), F.col("paragraph").alias("last"), "family", F.when(F.col("family") != UNKNOWN, F.col("found")).otherwise(-1).alias("found"))
+    runs = scan_wrapped(spark, documents).select("doc_id", "h", "first", "last", "family", "found")
+    both = lines.unionByName(runs).select("*", F.explode(F.sequence("first", "last")).alias("line"))
+    best = W.partitionBy("doc_id", "h", "line").orderBy(F.desc("found"), F.expr("last - first"), "first")
+    ranked = both.withColumn("rank", F.row_number().over(best))
+    held = ranked.groupBy("doc_id", "h", "first", "last").agg(F.max("rank").alias("rank"), F.first("family").alias("family")).where("rank = 1")
+    runs = held.where("last > first").select("doc_id", "h", "family", F.explode(F.sequence("first", "last")).alias("line"))
+    left = lines.alias("l").join(runs.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.h = r.h and l.first = r.line"), "left_anti").select("doc_id", "h", "family")
+    return left.unionByName(held.where("last > first").select("doc_id", "h", "family"))
 
 
 def scan_licenses(spark: SparkSession, documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, licenses (families in order, comma-joined, empty if none), n_licensed and n_unknown (paragraphs).
+    """Per document: doc_id, licenses (families in order, comma-joined, empty if none), n_licensed and n_unknown (lines and wrapped notices).
 
     Null and empty texts have none; rows that repeat are each returned. Only paragraphs with an anchor move
     beyond their own task, so hot sources or long documents gather nowhere.
     """
-    found = scan_paragraphs(spark, documents).groupBy("doc_id", "h").agg(
+    found = _notices(spark, documents).groupBy("doc_id", "h").agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))), ",").alias("licenses"),
         F.sum((F.col("family") != UNKNOWN).cast("long")).alias("n_licensed"),
         F.sum((F.col("family") == UNKNOWN).cast("long")).alias("n_unknown"),

@@ -43,6 +43,17 @@ def test_license_model_and_edges(spark, odd, none):
     assert not any("Python" in x or "Arrow" in x for x in [license_scan.scan_licenses(spark, odd)._jdf.queryExecution().toString()])
 
 
+def test_wrapped_licenses(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    prose = "A line of plain prose before it\nand a second one\n"
+    rows = [(1, gpl, "gpl-3.0"), (2, mit, "mit"), (3, bsd, "bsd"), (4, prose + "\n# " + gpl.replace("\n", "\n# ") + "\n\nThe end", "gpl-3.0"), (5, prose + "All rights\nreserved.", "proprietary"), (6, prose + "Released under the MIT License.", "mit"), (7, prose + "She lost her license\nand the warranty", "")]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark, spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {i: r.licenses for i, r in got.items()} == {i: f for i, _, f in rows}
+    assert got[6].n_licensed == 1 and got[1].n_licensed == 1
+
+
 # 2
 def brute(texts):
     sets = [set(ngram_join.shingles(t).tolist()) for t in texts]
