@@ -167,30 +167,45 @@ class Shard:
         return self.expand(self.symbols)
 
 
+def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and counts of documents with an end id after each of them."""
+    counts = counts + 1
+    last = np.cumsum(counts) - 1
+    out = np.full(int(last[-1]) + 1 if len(last) else 0, end, "<u4")
+    own = np.ones(len(out), bool)
+    own[last] = False
+    out[own] = ids
+    return out, counts
+
+
 def _encode(path: str, shard_tokens: int, min_count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, done = TaskContext.get().partitionId(), 0
-        tok, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
-        held: list[tuple] = []
+        tok = tokenizer(path)
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal done, size
-            ids = np.frombuffer(b"".join(b for _, b in held), "<u4")
-            shard = pack_shard([d for d, _ in held], [len(b) // 4 for _, b in held], ids, min_count)
+            doc_ids, counts, ids = (sum((h[0] for h in held), []), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+            shard = pack_shard(doc_ids, counts.tolist(), ids, min_count)
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([done]), pa.array([size]), pa.array([shard], pa.binary())], ["part", "local_start", "n_tokens", "shard"])
             done, size = done + size, 0
             held.clear()
             return out
 
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for i in range(0, batch.num_rows, 256):
-                for d, b in zip(ids[i : i + 256].to_pylist(), tok.encode_batch(texts[i : i + 256].to_pylist())):
-                    held.append((d, b + end))
-                    size += len(b) // 4 + 1
+            for i in range(0, batch.num_rows, 2048):
+                docs = batch.column("doc_id").slice(i, 2048).to_pylist()
+                ids, counts = with_ends(*tok.encode(batch.column("text").slice(i, 2048)), END_ID)
+                ends, at, sent = np.cumsum(counts), 0, 0
+                while at < len(docs):  # a shard ends with the document that fills it
+                    to = min(len(docs), int(np.searchsorted(ends, sent + shard_tokens - size)) + 1)
+                    held.append((docs[at:to], counts[at:to], ids[sent : ends[to - 1]]))
+                    size += int(ends[to - 1]) - sent
+                    at, sent = to, int(ends[to - 1])
                     if size >= shard_tokens:
                         yield flush()
         if held:

@@ -1,5 +1,6 @@
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -96,20 +97,44 @@ def test_pruning_keeps_what_may_reach_the_threshold():
 
 
 # 3 and the tokenizer
-@settings(max_examples=40, deadline=None)
-@given(st.text(alphabet="aB .,'\n\té́ß中1 Σİ ", max_size=60))
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_tokenizer_equals_library(name, text):
+@lru_cache
+def library(name):
+    """ids of a text by a freshly loaded tokenizer of the library."""
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    return lambda text: np.array(fresh.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+VOCABULARIES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
+AWKWARD = ["see <|endoftext|> here", "<|startoftext|>", "hello <|startoftext|> world", "a\n\nb", "a\n\n\nb", "a \nb", "a\n b", "a\t \n b", "a\t\n\nb", "\n", " ", "", "\na", "a\n", "\n\na", "don't stop, it's (so) good'", "x\u00a0y", "\u00a0y z", "z y\u00a0", "a\x85\n\nb", "1234 5.6,7", "MIXED case", "\u1112\u1161\u11ab", "e\u0301 \u0301", "\ud7a3"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB .,'\n\t\u00a0\u2003é́ß中1 Σİ<|>", max_size=40), max_size=5))
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_tokenizer_equals_library(name, texts):
     from mnemolake.llm.tokens import tokenizer
 
-    t = tokenizer(public_tokenizers.path(name))
-    assert t.encode_batch([text]) == [t.ids(text)]
+    assert tokenizer(public_tokenizers.path(name)).encode_batch(texts) == list(map(library(name), texts))
+
+
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_tokenizer_on_awkward_and_real_texts(spark, name):
+    from mnemolake.llm.tokens import tokenizer
+
+    texts = AWKWARD + [r.text for r in common.table(spark, SF, "documents").select("text").collect()]
+    assert tokenizer(public_tokenizers.path(name)).encode_batch([None, *texts]) == [b"", *map(library(name), texts)]
+
 
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_tokenizer_with_small_cache(name, monkeypatch):
+    from mnemolake.llm import tokens
 
-def test_tokenizer_with_small_cache():
-    t = WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), cache_words=3)
-    texts = [f"a{i} some words. here, and there {i % 7}" for i in range(1500)]
-    assert t.encode_batch(texts) == [t.ids(x) for x in texts]
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 2000)
+    t = WordTokenizer(public_tokenizers.path(name), cache_words=3)
+    texts = [f"A{i} some words. here,\nand there {i % 7}" for i in range(1500)]
+    assert t.encode_batch(texts) == list(map(library(name), texts))
 
 
 def test_grammar_round_trip_and_random_access():
@@ -129,9 +154,11 @@ def test_token_files(spark, odd, none, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     token_files.write_tokens(spark, odd, str(tmp_path / "t"), path, shard_tokens=50)
     got = sorted(token_files.read_tokens(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
-    library = WordTokenizer(path)
-    want = [[*np.frombuffer(library.ids(r.text or ""), "<u4").tolist(), 1] for r in sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))]
+    ids = library("word_bpe_49k.json")
+    want = [[*np.frombuffer(ids(r.text or ""), "<u4").tolist(), 1] for r in sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))]
     assert [r.ids for r in got] == want and [r.start for r in got] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+    crcs = sorted(token_files._decoded(spark, str(tmp_path / "t"), whole=False).collect(), key=lambda r: r.start)
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in crcs] == [(r.doc_id, r.start, len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for r, w in zip(got, want)]
     token_files.write_tokens(spark, none, str(tmp_path / "e"), path)
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
@@ -269,10 +296,10 @@ def test_first_fit_decreasing(lengths):
 
 def test_packing(spark, odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library = WordTokenizer(path)
+    ids = library("byte_bpe_50k.json")
     docs = common.table(spark, SF, "documents")
     rows = packing.pack(spark, docs, path, group_docs=64).collect()
-    texts = {r.doc_id: library.ids(r.text) + b"\0\0\0\0" for r in docs.collect()}
+    texts = {r.doc_id: ids(r.text) + b"\0\0\0\0" for r in docs.collect()}
     seen, used = defaultdict(int), defaultdict(list)
     for r in rows:
         assert zlib.crc32(texts[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 and r.doc_tokens * 4 == len(texts[r.doc_id])
