@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import runs, streamed, table
+from .token_files import with_ends
 from .tokens import tokenizer
 
 LENGTH = 1024
@@ -53,32 +54,29 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
     return out
 
 
-def cut(ids: bytes, length: int) -> Iterator[tuple[int, int, int]]:
-    """(start, length, crc32) of full pieces and the rest of a document's ids."""
-    view = memoryview(ids)
-    for i in range(0, len(ids), 4 * length):
-        piece = view[i : i + 4 * length]
-        yield i // 4, len(piece) // 4, zlib.crc32(piece)
+def cut(ids: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(document, start, length, crc32) of full pieces and the rest of each document's ids, given one after another."""
+    n = -(-counts // length)
+    doc = np.repeat(np.arange(len(counts)), n)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * length
+    size = np.minimum(length, counts[doc] - start)
+    at = ((np.cumsum(counts) - counts)[doc] + start) * 4
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    return doc, start, size, [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + size * 4).tolist())]
 
 
 def _pieces(path: str, length: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
+        tok = tokenizer(path)
         seen, salt = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                cols: list[list] = [[], [], [], [], [], []]
-                for d, b in zip(part.column("doc_id").to_pylist(), tok.encode_batch(part.column("text").to_pylist())):
-                    seen += 1
-                    grp = zlib.crc32(f"{d} {salt} {seen}".encode()) % groups
-                    n = len(b) // 4 + 1
-                    for start, size, crc in cut(b + end, length):
-                        for col, v in zip(cols, (d, start, size, crc, n, grp)):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"])
+            ids, counts = with_ends(*tok.encode(batch.column("text")), END_ID)
+            doc, start, size, crc = cut(ids, counts, length)
+            grp = np.array([zlib.crc32(f"{d} {salt} {seen + i}".encode()) % groups for i, d in enumerate(batch.column("doc_id").to_pylist(), 1)], np.int64)
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(counts[doc]), pa.array(grp[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"])
 
     return run
 
