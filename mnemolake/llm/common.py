@@ -6,9 +6,11 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch between a task and its Python worker at most: both sides hold a few batches at once.
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the cluster names none (tests)."""
+    """The folder that driver and executors share; a local one is set only for a local master (tests) where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "mnemolake-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +49,30 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a written() whose tables are deleted at the end; what leaves the block must be written outside of it."""
+    tables: list[DataFrame] = []
+
+    def write(df: DataFrame, tag: str) -> DataFrame:
+        tables.append(written(spark, df, tag))
+        return tables[-1]
+
+    try:
+        yield write
+    finally:
+        for t in tables:
+            forget(spark, t)
+
+
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """names with as many underscores before them as none of the taken ones begins with, whatever their case."""
+    mark = "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def streamed(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow(run, schema) in batches that BATCH bounds; a session's own lower bounds stay."""
     conf = df.sparkSession.conf
@@ -75,55 +103,68 @@ def remainder(doc_id, n: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The groups of equal key of a partition that is sorted by key, one table each."""
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The groups of equal (integer) keys of a partition that is sorted by them, one table each."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        keys = batch.column(key).to_pylist()
-        start = 0
-        for i, k in enumerate(keys):
-            if k != last and (held or i > start):
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, start = [], i
-            last = k
-        if len(keys) > start:
-            held.append(batch.slice(start))
+        if not batch.num_rows:
+            continue
+        cols = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+        cut = [0, *(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut, cut[1:]):
+            own = tuple(cols[:, a].tolist())
+            if own != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = own
+            held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
 
 
+def hot(rows: int) -> int:
+    """Rows of a key from which it counts as hot, so that there are at most a million hot keys, and fewer on small tables."""
+    return max(200, rows // 1_000_000 + 1)
+
+
+def looked_up(big: DataFrame, facts: DataFrame, keys: list[str], often: Column, how: str = "inner") -> DataFrame:
+    """big joined to facts, which has one row a key; the keys that `often` marks as hot are broadcast and not shuffled by.
+
+    facts is read several times, so it should be a written table; no key is null.
+    """
+    few = F.broadcast(facts.where(often))
+    rest = big.join(F.broadcast(facts.where(often).select(*keys)), keys, "left_anti").join(facts.where(~often), keys, how)
+    both = big.join(few, keys)
+    return both.unionByName(rest.select(*both.columns))
+
+
+def tied(pairs: DataFrame, by: str, write: Callable, rows: int) -> DataFrame:
+    """pairs (u, v) with m, the least v of each u (`by` gives least(u, m) as well as m alone): hot nodes are broadcast."""
+    low = write(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg")), "low")
+    facts = low.select("u", (F.least("u", "m") if by == "least" else F.col("m")).alias("m"), "deg")
+    return looked_up(pairs, facts, ["u"], F.col("deg") > hot(rows)).drop("deg")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) of the undirected edges (u, v) of longs, root being the smallest node reached.
 
     Alternates the large-star and small-star steps until the edges stay the same; every round is written
-    to the shared folder, and only a count and a checksum come to the driver. Nodes of no edge have no row.
+    to the shared folder, and only a count and a checksum come to the driver. Nodes with very many neighbours are joined
+    by broadcast, so none gathers in one task. Nodes of no edge have no row.
     """
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
-
     def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     now = written(spark, edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = state(now)
     while before[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = least(large)
-        after = written(
-            spark,
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.*")
-            .where("u <> v")
-            .distinct(),
-            "cc",
-        )
+        with scratch(spark) as write:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = write(tied(both, "least", write, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+            small_star = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+            after = written(spark, tied(large, "m", write, before[0]).select(F.explode(small_star).alias("e")).select("e.*").where("u <> v").distinct(), "cc")
         forget(spark, now)
         now, was, before = after, before, state(after)
         if was == before:
