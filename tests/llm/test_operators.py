@@ -230,13 +230,14 @@ def test_decontamination_passes_and_edges(spark, odd, none):
 
 
 # 6
-@pytest.mark.parametrize("block", [4096, 16])
-def test_embedding_links(spark, block):
+@pytest.mark.parametrize(("block", "bucket", "turn"), [(4096, 1024, 32), (16, 1024, 32), (4096, 8, 5), (4, 4, 7)])
+def test_embedding_links(spark, block, bucket, turn):
+    assert embedding_dedup.parameters(90, bucket=8)[0] > 1 and embedding_dedup.parameters(90, bucket=8)[1] > 5
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + rng.normal(size=base.shape) * 0.2, base[:5], base[:1] * 3]))]
     odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0, 2.0]), (905, []), (906, [float("inf")] * 16), (907, [1.0, 2.0])]
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark, spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), block=block).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark, spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), block=block, bucket=bucket, turn=turn).collect()}
     u = np.array([v for _, v in rows])
     u /= np.linalg.norm(u, axis=1)[:, None]
     a, b = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
@@ -248,6 +249,25 @@ def test_embedding_links(spark, block):
         assert (got[i].n_links, got[i].component_id) == ((1, 904) if i in (904, 907) else (0, i))
 
 
+def test_embedding_edges(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, node long, keys long")
+    assert embedding_dedup.near_duplicates(spark, none).count() == 0
+    twice = spark.createDataFrame([(1, [1.0, 2.0], 1, 2), (1, [1.0, 2.0], 1, 2), (2, [2.0, 4.0], 1, 2), (None, [1.0, 2.0], 1, 2)], none.schema)
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark, twice).collect()) == [(0, 3, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1)]
+
+
+def test_embedding_recall_with_many_projections(spark):
+    """All links of the table and of noisy copies of it are found with buckets so small that tables have several projections."""
+    u = np.array([r.embedding for r in common.table(spark, "/root/testdata/sf0.1", "embeddings").orderBy("vec_id").collect()], float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    u = np.concatenate([u, u + np.random.default_rng(8).normal(size=u.shape) * np.linspace(0.01, 0.07, len(u))[:, None]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark, rows, bucket=32).collect()}
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert want.sum() > 1000 and sum(got.values()) >= 0.999 * want.sum() and all(got[i] <= n for i, n in enumerate(want.tolist()))
+
+
 # 8
 def test_url_rules_and_terms(spark):
     cases = {"http://a.Example.com/en/71?x": ("a.example.com", "/en/71", "example.com/en/7", "allow"), "http://x.com/en/": ("x.com", "/en/", "com/en/", "block"), "http://xcom/en/": ("xcom", "/en/", None, "allow"), "http://q.org#a/es/": ("q.org", "", None, "allow"), "nothing": ("", "", None, "allow"), "http://h.de/casino-royale": ("h.de", "/casino-royale", None, "block"), "http://h.de/casinos": ("h.de", "/casinos", None, "allow"), "http://h.de/free/free": ("h.de", "/free/free", None, "allow"), "http://h.de/free-bonus": ("h.de", "/free-bonus", None, "block")}
