@@ -12,19 +12,22 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, streamed, table, written
+from .common import scratch, streamed, table, written
 from .url_filter import split_url
 
 #: Pages on which a token must stand for its class to count.
 MIN_PAGES = 3
-#: Share of a slot's blocks that must recur on other pages for it to be furniture.
+#: Values of all hosts' lists that may be broadcast (8 bytes each), and copies of larger ones.
+LISTED, SALTS = 4_000_000, 32
+#: Share of a slot's blocks, and of their characters, that must recur on other pages for it to be furniture.
 RECUR = 0.5
 #: Share of a host's text, the template's too, above which an element is no furniture, whatever the lists say.
 MOST = 2 / 3
@@ -33,38 +36,117 @@ MOST = 2 / 3
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements, roles and words of class or id that hold page furniture; the second set counts outside an article only.
+#: Elements and roles that hold page furniture.
 FURNITURE = frozenset("head nav footer aside form button select menu dialog script style textarea noscript template iframe svg object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Words of class or id: a name that is made of these, and of general ones besides, marks furniture. Outside an article those of OUTSIDE do too.
 WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments reply replies respond disqus toolbar pager pagination".split())
+GENERAL = frozenset("area articles bar block body bottom box button buttons center column container content entry footer form global group header holder inner items left left link links list main menu outer page panel post posts reader right root section site slot text thread title top unit user wrap wrapper".split())
 OUTSIDE = frozenset("header masthead topbar".split())
+#: Elements of running text, and the words that mark even these.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt li td th tr figcaption".split())
+PLAIN = frozenset("ad ads advert adverts advertisement advertising sponsored promo cookie cookies newsletter breadcrumb breadcrumbs".split())
 MAIN = frozenset("article main".split())
+#: Open elements at most; deeper ones stand beside each other, as in browsers. No text is lost by it.
+DEPTH = 512
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Open elements of these names end when the next one begins, or a block does.
 _CLOSES = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
+def _key(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
+
+
+@lru_cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
+
+
+def _names(value: str, words: frozenset) -> bool:
+    """Whether a name in a class or id is made of these words, single letters and general ones."""
+    for name in value.split():
+        own = [w for w in re.split(r"[^a-z]+", name) if w]
+        if any(w in words for w in own) and all(w in words or w in GENERAL or len(w) == 1 for w in own):
+            return True
+    return False
+
+
 class Element:
+    """path is a hash of the names above and its own; region that of the outermost element of furniture around it, 0 for none."""
+
     __slots__ = ("furniture", "main", "name", "path", "region")
 
     def __init__(self, name: str, attrs: str, above: Element | None):
         self.name = name
-        found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs.strip() else {}
-        words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-        own = name + "".join(f".{w}" for w in sorted(words - {""}))
-        self.path = f"{above.path}/{own}" if above else own
+        found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)} if attrs and not attrs.isspace() else {}
+        called = f"{found.get('class', '')} {found.get('id', '')}" if found else ""
+        words = sorted(set(re.split(r"[^a-z]+", called)) - {""}) if called else ()
+        self.path = _key(str(above.path) if above else "", name, *words)
         inside = above.main if above else False
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        outside = not inside and (name == "header" or bool(words & OUTSIDE))
+        hidden = bool(found) and ("hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""))
         page = name in ("html", "body")
-        self.furniture = bool(above and above.furniture) or name in FURNITURE or found.get("role", "") in ROLES or hidden or (not page and (bool(words & WORDS) or outside))
-        self.region = (above.region if above and above.furniture else self.path) if self.furniture else ""
+        named = bool(words) and not page and (_names(called, PLAIN if name in TEXTUAL else WORDS) or (not inside and _names(called, OUTSIDE)))
+        outside = not inside and name == "header"
+        self.furniture = bool(above and above.furniture) or name in FURNITURE or found.get("role", "") in ROLES or hidden or named or outside
+        self.region = (above.region if above and above.furniture else self.path) if self.furniture else 0
         self.main = inside or ((name in MAIN or found.get("role") == "main" or found.get("itemprop") == "articlebody") and not self.furniture)
 
 
+def tags_of(source: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, whether it closes) of each tag, in one pass; comments and the like have an empty name.
+
+    Send a position to go on from there. A tag whose quotes do not end goes up to its first `>`; a `<` after which no `>`
+    comes is text.
+    """
+    at, last, data = 0, source.rfind(">"), source.rfind("]]>")
+    while True:
+        i = source.find("<", at)
+        if i < 0 or i > last:
+            return
+        if source.startswith("<!--", i):
+            end = source.find("-->", i + 4)
+            at = end + 3 if end >= 0 else len(source)
+            yield i, at, "", "", False
+            continue
+        if i < data and source.startswith("<![CDATA[", i):
+            at = source.find("]]>", i) + 3
+            yield i, at, "", "", False
+            continue
+        if source[i + 1 : i + 2] in ("!", "?"):
+            at = source.find(">", i) + 1
+            yield i, at, "", "", False
+            continue
+        closes = source.startswith("/", i + 1)
+        name = _NAME.match(source, i + 1 + closes)
+        if not name:
+            at = i + 1
+            continue
+        stop = name.end()
+        while True:
+            m = _STOP.search(source, stop)
+            if not m:  # quotes that do not end
+                stop = source.find(">", name.end())
+                break
+            if m[0] == ">":
+                stop = m.start()
+                break
+            end = source.find(m[0], m.end())
+            if end < 0:
+                stop = source.find(">", name.end())
+                break
+            stop = end + 1
+        at = stop + 1
+        to = yield i, at, name[0].lower(), source[name.end() : stop], closes
+        if to is not None:
+            at = to
+            yield 0, 0, "", "", False
+
+
 def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter, list[tuple[Element, str | None]]]:
     """(element, text) of every block with text, in page order, how often each path occurs, and blocks and elements (text None) in order."""
     source = source or ""
@@ -74,6 +156,7 @@ def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter, l
     events: list[tuple[Element, str | None]] = []
     root = Element("html", "", None)
     text: list[str] = []
+    opened: Counter = Counter()
     at = 0
 
     def flush() -> None:
@@ -84,26 +167,26 @@ def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter, l
                 events.append(blocks[-1])
             text.clear()
 
-    while True:
-        m = _TAG.search(source, at)
-        if not m:
-            text.append(source[at:])
-            break
-        if m.start() > at:
-            text.append(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+    def leave(keep: int) -> None:
+        for e in stack[keep:]:
+            opened[e.name] -= 1
+        del stack[keep:]
+
+    tags = tags_of(source)
+    for start, end, name, attrs, closes in tags:
+        if start > at:
+            text.append(source[at:start])
+        at = max(at, end)
         if not name:
             continue
-        if m[1]:
+        if closes:
             if name in INLINE or name in VOID:
                 if name == "br":
                     text.append(" ")
                 continue
-            if any(e.name == name for e in stack):
+            if opened[name]:
                 flush()
-                while stack.pop().name != name:
-                    pass
+                leave(max(i for i, e in enumerate(stack) if e.name == name))
             elif name == "p":
                 flush()
             continue
@@ -116,33 +199,34 @@ def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter, l
                 text.append(" ")
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            close = _raw_end(name).search(source, at)
+            at = close.end() if close else len(source)
+            tags.send(at)
             continue
         flush()
         while stack and stack[-1].name == "p":  # a block ends an open paragraph
-            stack.pop()
+            leave(len(stack) - 1)
         if name in _CLOSES and _CLOSES[name]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].name in _BARRIER[name]:
                     break
                 if stack[i].name in _CLOSES[name]:
-                    del stack[i:]
+                    leave(i)
                     break
         if name == "html" and not stack:
             stack.append(root)
         else:
-            stack.append(Element(name, m[3], stack[-1] if stack else root))
+            if len(stack) >= DEPTH:
+                leave(DEPTH - 1)
+            stack.append(Element(name, attrs, stack[-1] if stack else root))
+        opened[name] += 1
         paths[stack[-1].path] += 1
         events.append((stack[-1], None))
+    text.append(source[at:])
     flush()
     return blocks, paths, events
 
 
-def _key(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
-
-
 def _walk(tokens: list[int], place: dict[int, tuple[int, int, int]]) -> tuple[list[tuple[int, int]], dict[int, set]]:
     """For each token the (class, gap) it stands in, and of each class the gaps it opens in; None marks one that overlaps another.
 
@@ -189,11 +273,10 @@ def _page(source: str | None) -> tuple[list, list, list, list, list]:
     """tokens of a page in order; for texts also the path, the hint of the lists (1 furniture, 2 main), its outermost element, and characters."""
     tokens, paths, hints, regions, chars = [], [], [], [], []
     for element, text in blocks_of(source)[2]:
-        own = _key(element.path)
-        tokens.append(own if text is None else _key(element.path, text))
-        paths.append(own if text is not None else 0)
+        tokens.append(element.path if text is None else _key(str(element.path), text))
+        paths.append(element.path if text is not None else 0)
         hints.append(element.furniture + 2 * element.main)
-        regions.append(_key(element.region) if element.region else 0)
+        regions.append(element.region)
         chars.append(len(text or ""))
     return tokens, paths, hints, regions, chars
 
@@ -216,11 +299,11 @@ def _each(columns: tuple[str, ...], rows_of, schema: str):
     return run
 
 
-def _seen(host, page, tokens, paths):
-    found = Counter((t, p != 0) for t, p in zip(tokens, paths))
-    for (t, text), n in found.items():
+def _seen(host, page, tokens, paths, chars):
+    found = Counter(zip(tokens, paths, chars))
+    for (t, path, c), n in found.items():
         h = xxhash.xxh3_64_intdigest(f"{page} {n}")
-        yield host, t, int(text), h & 0xFFFFFFFF, h >> 32
+        yield host, t, path, n, n * c, h & 0xFFFFFFFF, h >> 32
 
 
 def _orders(host, tokens, members):
@@ -258,30 +341,48 @@ def _filled(host, tokens, paths, hints, regions, chars, orders):
         begun.add(slot)
 
 
-def classes(spark: SparkSession, parsed: DataFrame) -> DataFrame:
+def with_hosts(pages: DataFrame, hosts: DataFrame, *lists: str, how: str = "inner") -> DataFrame:
+    """pages joined to hosts, a written table of one row a host with columns of lists.
+
+    It is broadcast if its lists hold at most LISTED values in all. Otherwise it is copied SALTS times and each host's
+    pages are dealt over the copies, so that a host with most pages is no single task.
+    """
+    held = hosts.agg(F.coalesce(F.sum(sum((F.size(F.flatten(c)) if hosts.schema[c].dataType.elementType.typeName() == "array" else F.size(c)) for c in lists) + 16), F.lit(0))).first()[0]
+    if held <= LISTED:
+        return pages.join(F.broadcast(hosts), "host", how)
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)))
+    return salted.join(hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long")), ["host", "salt"], how).drop("salt")
+
+
+def classes(spark: SparkSession, parsed: DataFrame, write: Callable) -> DataFrame:
     """host, orders: the valid classes of each host, as their tokens in order.
 
     Occurrence vectors are never gathered: each is summed into a fingerprint of (page, count), which map-side
-    aggregation makes one row per task and token, so a host with most pages is no larger than others. A class has
+    aggregation makes one row per task and token, so a host with most pages is no larger than others. A text whose
+    path mostly holds texts of single pages is no token of a template, however often it recurs. A class has
     two tokens at least, an element among them. It is valid if its tokens repeat in one order on every page, and
     all its occurrences lie in one gap of the other valid classes; the rest go, until none does.
     """
-    schema = "host string, token long, text int, lo long, hi long"
-    vectors = streamed(parsed.select("host", "page", "tokens", "paths"), _each(("host", "page", "tokens", "paths"), _seen, schema), schema).groupBy("host", "token", "text").agg(F.count(F.lit(1)).alias("pages"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
-    members = vectors.where(F.col("pages") >= MIN_PAGES).groupBy("host", "lo", "hi").agg(F.min("text").alias("text"), F.collect_set("token").alias("tokens")).where("text = 0 and size(tokens) > 1")
-    members = written(spark, members.groupBy("host").agg(F.collect_list("tokens").alias("members")), "classes")
+    schema = "host string, token long, path long, n long, chars long, lo long, hi long"
+    names = ("host", "page", "tokens", "paths", "chars")
+    vectors = streamed(parsed.select(*names), _each(names, _seen, schema), schema).groupBy("host", "token", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    vectors = write(vectors.where(F.col("pages") >= MIN_PAGES).unionByName(vectors.where((F.col("pages") < MIN_PAGES) & (F.col("path") != 0)).groupBy("host", "path").agg(F.lit(0).cast("long").alias("token"), F.lit(0).cast("long").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))), "vectors")
+    share = lambda c: F.sum(F.when(F.col("pages") >= MIN_PAGES, F.col(c)).otherwise(0)) <= RECUR * F.sum(c)
+    own = vectors.where("path <> 0").groupBy("host", "path").agg((share("n") | share("chars")).alias("own")).where("own").select("host", "path")
+    members = vectors.where(F.col("pages") >= MIN_PAGES).join(own, ["host", "path"], "left_anti").groupBy("host", "lo", "hi").agg(F.min((F.col("path") != 0).cast("int")).alias("text"), F.collect_set("token").alias("tokens")).where("text = 0 and size(tokens) > 1")
+    members = write(members.groupBy("host").agg(F.collect_list("tokens").alias("members")), "classes")
     schema = "host string, cls long, order array<long>"
-    seen = streamed(parsed.select("host", "tokens").join(small(members, 20_000), "host"), _each(("host", "tokens", "members"), _orders, schema), schema)
+    seen = streamed(with_hosts(parsed.select("host", "tokens"), members, "members"), _each(("host", "tokens", "members"), _orders, schema), schema)
     ordered = seen.groupBy("host", "cls").agg(F.min("order").alias("order"), F.max("order").alias("last")).where("order = last and size(order) > 1")
-    now = written(spark, ordered.groupBy("host").agg(F.collect_list("order").alias("orders")), "orders")
+    now = write(ordered.groupBy("host").agg(F.collect_list("order").alias("orders")), "orders")
     schema, left = "host string, cls long, gap long, overlaps int", "host string, orders array<array<long>>"
     while True:
-        seen = streamed(parsed.select("host", "tokens").join(small(now, 20_000), "host"), _each(("host", "tokens", "orders"), _nests, schema), schema)
-        bad = written(spark, seen.groupBy("host", "cls").agg(F.min("gap").alias("gap"), F.max("gap").alias("last"), F.max("overlaps").alias("overlaps")).where("gap <> last or overlaps = 1").groupBy("host").agg(F.collect_set("cls").alias("bad")), "overlaps")
+        seen = streamed(with_hosts(parsed.select("host", "tokens"), now, "orders"), _each(("host", "tokens", "orders"), _nests, schema), schema)
+        bad = write(seen.groupBy("host", "cls").agg(F.min("gap").alias("gap"), F.max("gap").alias("last"), F.max("overlaps").alias("overlaps")).where("gap <> last or overlaps = 1").groupBy("host").agg(F.collect_set("cls").alias("bad")), "overlaps")
         if bad.isEmpty():
             return now
         rest = now.join(bad, "host", "left").select("host", "orders", F.coalesce("bad", F.array().cast("array<long>")).alias("bad"))
-        now = written(spark, streamed(rest, _valid, left), "orders")
+        now = write(streamed(rest, _valid, left), "orders")
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,24 +391,24 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(left, pa.list_(pa.list_(pa.int64())))], ["host", "orders"])
 
 
-def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def templates(spark: SparkSession, pages: DataFrame, write: Callable) -> DataFrame:
     """host, orders (valid classes), keep, leave (slots with main text, slots of furniture), from pages (host, page, html).
 
-    A slot is a path in a gap between two tokens of a class. It is left out if most of its blocks recur on other
+    A slot is a path in a gap between two tokens of a class. It is left out if most of its blocks, and of their characters, recur on other
     pages, in article or main on two others. The lists only hint: their furniture is left out unless its outermost element holds over MOST of the
     host's text in slots that do not recur; what is outside article or main goes too if those hold over half of the rest.
     """
-    parsed = written(spark, streamed(pages, _each(("host", "page", "html"), lambda host, page, html: [(host, page, *_page(html))], _PAGE), _PAGE), "pages")
-    orders = classes(spark, parsed)
+    parsed = write(streamed(pages, _each(("host", "page", "html"), lambda host, page, html: [(host, page, *_page(html))], _PAGE), _PAGE), "pages")
+    orders = classes(spark, parsed, write)
     schema = "host string, slot long, token long, hint int, region long, n long, chars long, first int"
     names = ("host", "tokens", "paths", "hints", "regions", "chars", "orders")
-    filled = streamed(parsed.drop("page").join(small(orders, 20_000), "host", "left").select(*names), _each(names, _filled, schema), schema)
+    filled = streamed(with_hosts(parsed.drop("page"), orders, "orders", how="left").select(*names), _each(names, _filled, schema), schema)
     texts = filled.groupBy("host", "slot", "token", "hint", "region").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("first").alias("first"))
     total = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
     furniture, main = F.col("hint").bitwiseAND(1) == 1, F.col("hint").bitwiseAND(2) == 2
     again = F.col("pages") >= F.when(main, MIN_PAGES).otherwise(2)
-    slots = texts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("first").alias("pages"), total("n", again).alias("again"), total("n", furniture).alias("furniture"), total("n", main).alias("main"), F.max("region").alias("region"), F.sum("chars").alias("chars"))
-    slots = written(spark, slots.select("host", "slot", "pages", (F.col("again") > RECUR * F.col("n")).alias("recurs"), (F.col("furniture") * 2 > F.col("n")).alias("furniture"), (F.col("main") * 2 > F.col("n")).alias("main"), "region", "chars"), "slots")
+    slots = texts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("first").alias("pages"), total("n", again).alias("again"), total("chars", again).alias("again_chars"), total("n", furniture).alias("furniture"), total("n", main).alias("main"), F.max("region").alias("region"), F.sum("chars").alias("chars"))
+    slots = write(slots.select("host", "slot", "pages", ((F.col("again") > RECUR * F.col("n")) & (F.col("again_chars") > RECUR * F.col("chars"))).alias("recurs"), (F.col("furniture") * 2 > F.col("n")).alias("furniture"), (F.col("main") * 2 > F.col("n")).alias("main"), "region", "chars"), "slots")
     hosts = slots.groupBy("host").agg(F.sum("chars").alias("all"), total("chars", (F.col("slot") != 0) & ~F.col("furniture")).alias("plain"), total("chars", (F.col("slot") != 0) & ~F.col("furniture") & F.col("main")).alias("inside"))
     regions = slots.where("furniture and not recurs").groupBy("host", "region").agg(F.sum("chars").alias("held"))
     judged = slots.where(F.col("pages") >= MIN_PAGES).join(hosts, "host", "left").join(regions, ["host", "region"], "left")
@@ -324,11 +425,11 @@ def main_text(source: str | None, orders: list[list[int]] = (), keep: set[int] =
     listed = lambda e: not e.furniture and (e.main or not inside)
     filled = []
     if place or keep or leave:
-        tokens = [_key(e.path) if t is None else _key(e.path, t) for e, t in events]
+        tokens = [e.path if t is None else _key(str(e.path), t) for e, t in events]
         for (e, text), token, gap in zip(events, tokens, _walk(tokens, place)[0]):
             if text is None or token in place:
                 continue
-            slot = _slot(gap, _key(e.path))
+            slot = _slot(gap, e.path)
             if slot in keep or (slot not in leave and listed(e)):
                 filled.append(text)
     if not filled:  # no template, or all of it recurs, as where a host repeats one page
@@ -352,8 +453,9 @@ def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     own; the lists alone tell their furniture.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), split_url(F.col("url"))[0].alias("host"))
-    found = written(spark, templates(spark, own.select("host", F.xxhash64("page_id", "url").alias("page"), "html")), "templates")
-    return streamed(own.join(small(found, 20_000), "host", "left").select("page_id", "url", "html", "orders", "keep", "leave"), _extract, "page_id long, url string, text string, n_chars long")
+    with scratch(spark) as write:
+        found = written(spark, templates(spark, own.select("host", F.xxhash64("page_id", "url").alias("page"), "html"), write), "templates")
+    return streamed(with_hosts(own, found, "orders", "keep", "leave", how="left").select("page_id", "url", "html", "orders", "keep", "leave"), _extract, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,6 +294,81 @@ def test_html_slots_decide_inside_articles(spark):
     assert got[4] == "Title 4 Body 4 of some length, and words 4 of its own, on and on about what this page 4 alone is for"
 
 
+def texts_of(spark, htmls, host="h.com"):
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", h, "c", 1) for i, h in enumerate(htmls)], "page_id long, url string, html string, host string, page int")
+    return {r.page_id: r.text for r in html_extract.extract_text(spark, df).collect()}
+
+
+def test_html_articles_keep_odd_names_and_recurring_sentences(spark):
+    one = "<article><p>one</p><p class='notice-board'>two</p><div class='related-work'>three</div><p class='social'>four</p><h2 id='comments-on-method'>five</h2><div class='comments-area'>gone</div><div class='share-buttons'>gone</div></article>"
+    assert texts_of(spark, [one])[0] == "one two three four five"
+    pages = [f"<body><nav>Home</nav><article><p>Own paragraph {i}, {'x' * i}.</p><p>As the old saying goes.</p></article></body>" for i in range(5)]
+    assert texts_of(spark, pages)[3] == "Own paragraph 3, xxx. As the old saying goes."
+
+
+def test_html_time_grows_with_length():
+    import time
+
+    began = time.time()
+    for bad in ("<a" * 100_000, "<a '" * 100_001, "<a " * 100_000 + ">", "<div>" * 30_000 + "</b1>" * 30_000, "<![CDATA[>" * 100_000, "<p>" * 30_000):
+        html_extract.main_text(bad)
+    assert time.time() - began < 20 and html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after") == "deep after"
+
+
+def test_html_templates_raise_quality(spark):
+    """Pages of plain div elements, where lists of names say nothing: share of right words with the templates and without them."""
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    menu, foot, teasers = [word(3) for _ in range(6)], word(12), [word(8) for _ in range(5)]
+    truth, pages = [], []
+    for i in range(20):
+        own = [word(int(rng.integers(10, 60))) for _ in range(int(rng.integers(2, 6)))]
+        truth.append(" ".join(own))
+        pages.append(f"<body><div class=a1>{''.join(f'<div class=a2>{m}</div>' for m in menu)}</div><div class=b1>{''.join(f'<p>{x}</p>' for x in own)}</div><div class=c1>{''.join(f'<div class=c2>{teasers[k]}</div>' for k in rng.choice(5, 3, False))}</div><div class=d1>{foot}</div></body>")
+    with_them = texts_of(spark, pages)
+    without = {i: html_extract.main_text(h) for i, h in enumerate(pages)}
+    share = lambda got: np.mean([len(set(truth[i].split())) / len(set(got[i].split()) | set(truth[i].split())) for i in range(20)])
+    assert share(with_them) == 1.0 and share(without) < 0.8
+
+
+def test_html_classes_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pages = []
+    for i in range(12):
+        rows = "".join(f"<div class=row><h2>t{rng.integers(999)}</h2><p>x{rng.integers(999)}</p></div>" for _ in range(int(rng.integers(1, 4))))
+        pages.append(f"<body><div class=top>Logo</div><div class=list>{rows}</div>" + ("<div class=extra><i>Extra</i></div>" if i % 3 else "") + "<div class=end>End</div></body>")
+    tokens = [html_extract._page(p) for p in pages]
+    vectors, texts = defaultdict(lambda: [0] * len(pages)), set()
+    for i, (toks, paths, *_) in enumerate(tokens):
+        for t, path in zip(toks, paths):
+            vectors[t][i] += 1
+            if path:
+                texts.add(t)
+    groups = defaultdict(set)
+    for t, v in vectors.items():
+        if sum(x > 0 for x in v) >= html_extract.MIN_PAGES:
+            groups[tuple(v)].add(t)
+    want = {frozenset(g) for g in groups.values() if len(g) > 1 and g - texts}
+    df = spark.createDataFrame([("h", i, p) for i, p in enumerate(pages)], "host string, page long, html string")
+    with common.scratch(spark) as write:
+        parsed = df.select("host", "page", "html")
+        parsed = write(common.streamed(parsed, html_extract._each(("host", "page", "html"), lambda host, page, html: [(host, page, *html_extract._page(html))], html_extract._PAGE), html_extract._PAGE), "pages")
+        got = html_extract.classes(spark, parsed, write).collect()[0].orders
+    assert {frozenset(o) for o in got} == want and len(want) == 3
+    for o in got:  # one order on every page
+        for toks, *_ in tokens:
+            run = [t for t in toks if t in set(o)]
+            assert run == o * (len(run) // len(o))
+
+
+def test_html_edges(spark, none):
+    assert html_extract.extract_text(spark, spark.createDataFrame([], "page_id long, url string, html string, host string")).count() == 0
+    df = spark.createDataFrame([(1, "http://a/b", "<p>x</p>", "h")] * 3 + [(None, None, None, None)], "page_id long, url string, html string, host string")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extract.extract_text(spark, df).collect()) == [(0, "", 0)] + [(1, "x", 1)] * 3
+    odd = spark.createDataFrame([(1, "http://a.com/en/x", "q", "r")] * 2 + [(None, None, None, None)], "page_id long, url string, host string, rule string")
+    assert [r.rule for r in url_filter.filter_urls(odd).orderBy("page_id").collect()] == [None, "com/en/", "com/en/"] and url_filter.filter_urls(odd.limit(0)).count() == 0
+
+
 def test_html_classes_are_ordered_and_nested():
     a, b, c, d = 1, 2, 3, 4
     assert [o for _, _, o in html_extract._orders("h", [a, c, b, a, b], [[b, a]])] == [[a, b]]
