@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only, streamed, table, written
+from .common import forget, fresh_names, keep_only, streamed, table, written
 
 WINDOW = 10
 #: Words of benchmark items that one pass over the documents takes, about 200 MB of tables; further items take further passes.
@@ -109,7 +109,7 @@ def _pass(tables, window: int, own: tuple[str, str, str]):
                 if s:
                     found = merged([*zip(s[::2], s[1::2]), *found])
                 spans.append([x for span in found for x in span])
-                items.append(sorted({*known, *map(str, ids)}))
+                items.append(sorted({*known, *(i for i in ids if i is not None)}))
             for name, column in zip(own, (pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())))):
                 batch = batch.set_column(batch.schema.get_field_index(name), name, column)
             yield batch
@@ -121,7 +121,7 @@ def find_contamination(spark: SparkSession, documents: DataFrame, benchmark: Dat
     """The documents (doc_id, text) with n_words, spans (starts and ends of hit words in turn) and items (ids as strings, sorted).
 
     A window is `window` consecutive words of an item, all of its words if it has fewer; items without words
-    and null texts have none. Items are taken in blocks of about pass_words words: each block is one pass over
+    and null texts have none. An item with a null id marks words as hit and is named nowhere. Items are taken in blocks of about pass_words words: each block is one pass over
     the documents, and only one block's items are on the driver and in a broadcast at a time. Nothing is shuffled. Repeated
     documents each get their own row.
     """
@@ -129,25 +129,26 @@ def find_contamination(spark: SparkSession, documents: DataFrame, benchmark: Dat
 
 
 def _search(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int, pass_words: int, own: tuple[str, str, str]) -> DataFrame:
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     size = bench.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0))).first()[0]
     blocks = int(size // pass_words) + 1
     docs = documents.select("*", *(v.cast(kind).alias(name) for v, kind, name in zip((F.lit(0), F.array(), F.array()), ("long", "array<long>", "array<string>"), own)))
+    last = None  # the pass before
     for b in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         tables = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
         docs = streamed(docs, _pass(tables, window, own), docs.schema)
         if b < blocks - 1:
             docs = written(spark, docs, "decontaminate")
+            if last is not None:
+                forget(spark, last)
+            last = docs
     return docs
 
 
 def drop_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents, all columns, without those in which any window occurs. Rows are judged one by one where they are."""
-    mark = "_"
-    while any(c.startswith(mark) for c in documents.columns):
-        mark += "_"
-    own = tuple(mark + c for c in OWN)
+    own = tuple(fresh_names(documents.columns, *OWN))
     found = _search(spark, documents, benchmark, window, PASS_WORDS, own)
     return found.where(F.size(own[1]) == 0).drop(*own)
 

@@ -9,15 +9,21 @@ from .common import remainder
 
 #: Labelled documents that a classifier is fitted on at most; they come to the driver.
 SAMPLE = 6000
+#: Characters of a document in the sample at most.
+SAMPLE_CHARS = 1_000_000
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, limit: int = SAMPLE) -> DataFrame:
     """documents with a column y (0 or 1) for at most `limit` labelled ids that are not held out.
 
     The ids are the first by hash, so every run takes the same ones. Ids or labels that are null are left out;
-    an id labelled twice takes its greater label.
+    an id labelled twice takes its greater label, an id of several documents the one with the least text hash. Texts beyond
+    SAMPLE_CHARS characters are left out of the sample (they are scored whole), so its size is bounded.
     """
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(column) > 0).cast("int").alias("y"))
     known = known.where(remainder(F.col("doc_id"), modulus) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return documents.join(F.broadcast(taken), "doc_id")
+    found = documents.join(F.broadcast(taken), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    one = found.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = found.join(F.broadcast(one), "doc_id").where(F.xxhash64("text") == F.col("least")).drop("least", "rows").dropDuplicates(["doc_id"])
+    return found.join(F.broadcast(one), "doc_id", "left_anti").unionByName(several)

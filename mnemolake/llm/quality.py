@@ -184,8 +184,11 @@ def fit_quality(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
 def add_quality(spark: SparkSession, documents: DataFrame, model: QualityModel, name: str = "quality_score") -> DataFrame:
     """documents with the score in column `name`, in the same partitions: no shuffle, whole texts.
 
-    Null and empty texts get the score of their statistics; all other columns pass through.
+    Null and empty texts get the score of their statistics; rows that repeat each get the same score, an empty table
+    stays empty. All other columns pass through; one that is already called `name` is an error.
     """
+    if name.lower() in map(str.lower, documents.columns):
+        raise ValueError(f"documents have a column {name} already")
     from pyspark.sql import types as T
 
     shared = spark.sparkContext.broadcast(model)

@@ -38,6 +38,8 @@ PRECISION = 0.9
 CACHE_WORDS = 250_000
 #: Words of a chain in fitting; scoring takes whole lines.
 FIT_WORDS = 64
+#: Clean chains to each toxic one in the first fit; the second adds every clean chain that the first takes for toxic.
+PLAIN_PER_TOXIC = 2
 _EDGES = re.compile(r"^\W+|\W+$")
 _hash = xxhash.xxh3_64_intdigest
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
@@ -228,7 +230,7 @@ class ToxicityModel:
                         tags.append(t)
                     else:
                         plain.append(some)
-        step = max(1, len(plain) // max(1, 2 * len(chains)))
+        step = max(1, len(plain) // max(1, PLAIN_PER_TOXIC * len(chains)))
         for words in plain[::step]:
             chains.append(words)
             tags.append([0] * len(words))
@@ -310,8 +312,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, limit: int = FIT_DOCS)
 def add_toxicity(spark: SparkSession, documents: DataFrame, model: ToxicityModel, name: str = "toxicity_score", spans: str | None = "toxic_spans") -> DataFrame:
     """documents with the score in column `name` and the spans (character offsets) in column `spans`: no shuffle, whole texts.
 
-    Null and empty texts have no words, the least score that the model gives and no spans; other columns pass through.
+    Null and empty texts have no words, the least score that the model gives and no spans; rows that repeat each
+    get the same, an empty table stays empty. Other columns pass through; one that has the name of an output is an error.
     """
+    if {name.lower(), (spans or name).lower()} & set(map(str.lower, documents.columns)):
+        raise ValueError(f"documents have a column {name} or {spans} already")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +339,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = add_toxicity(spark, docs.select("doc_id", "text"), model, "score", "spans")
-    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["stop"])), ",").alias("offsets"))
 
 
 QUERIES = {"op7_toxicity": op7_toxicity}

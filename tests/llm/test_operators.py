@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -44,6 +45,20 @@ def test_license_model_and_edges(spark, odd, none):
     assert not any("Python" in x or "Arrow" in x for x in [license_scan.scan_licenses(spark, odd)._jdf.queryExecution().toString()])
 
 
+def test_license_gate_loses_nothing():
+    for _, own in license_scan.model().templates:
+        assert sum(not re.search(license_scan.gate(), g) for g in own) < license_scan.CONFIRM * len(own)
+
+
+def test_all_notices_are_found_when_wrapped(spark):
+    import textwrap
+
+    notes = [(f, n) for f, own in license_scan.TEMPLATES.items() for n in own if len(n) > 110]
+    rows = [(i, "Some prose stands here before it.\n\n" + "\n".join(textwrap.wrap(n, 60)) + "\n\nAnd prose after it.") for i, (_, n) in enumerate(notes)]
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: f for i, (f, _) in enumerate(notes)} == got
+
+
 def test_wrapped_licenses(spark):
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.'
@@ -226,6 +241,8 @@ def test_decontamination_passes_and_edges(spark, odd, none):
     assert one == many
     assert decontamination.find_contamination(spark, odd, bench).count() == odd.count() and decontamination.find_contamination(spark, none, bench).count() == 0
     assert decontamination.drop_contaminated(spark, odd, bench.limit(0)).columns == odd.columns
+    unnamed = decontamination.find_contamination(spark, odd, spark.createDataFrame([(None, "one two")], "item_id long, text string")).where("doc_id = 3").collect()
+    assert [(r.spans, r["items"]) for r in unnamed] == [([0, 2], [])] * 2
     assert decontamination.drop_contaminated(spark, odd, spark.createDataFrame([(1, "one two"), (None, None)], "item_id long, text string")).where("doc_id = 3").count() == 0
 
 
@@ -416,6 +433,30 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {100: 99, 99: 99}
 
 
+def test_pipeline_edges(spark, none):
+    """Nulls, repeats, empty tables and columns that have the names of the stages' own."""
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_quality", "_toxicity", "_spans", "_id", "_text", "h1", "node", "key"]
+    schema = ", ".join(f"{c} {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in names)
+    text = common.table(spark, SF, "documents").orderBy("doc_id").first().text
+    rows = [(i, t, *["x"] * 2, None, *["y"] * 8) for i, t in ((1, text), (1, text), (2, None), (2, ""), (None, text), (None, None), (3, text + " more words"), (4, "x " * 30000))]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, docs, SF)
+            assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+        assert corpus_pipeline.pack_sequences(spark, docs, SF).where("start = 0").count() == docs.count()
+    left = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), SF).collect())
+    assert left == sorted([(0, text), (0, ""), (1, text), (2, ""), (2, ""), (4, "x " * 30000)])
+
+
+def test_deduplicate_tells_rows_of_one_id_apart(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base), (2, base + " more"), (2, "something else that no other document has in it"), (5, base.upper()), (1, base + "!")]
+    got = sorted(tuple(r) for r in ngram_join.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(got) == 2 and got[1] == rows[2] and got[0][0] == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
