@@ -24,7 +24,17 @@ class ChunkConfig:
 
 DEFAULT, CONVERSATION, MARKDOWN = ChunkConfig(), ChunkConfig(2000, 100, 100, 40), ChunkConfig(1500, 100, 80, 30)
 #: Context lengths of embedding models, in characters.
-CONTEXT = {"jina-embeddings-v5-text-small": 8192, "text-embedding-3-small": 8192, "text-embedding-3-large": 8192}
+CONTEXT = {
+    "jina-embeddings-v5-text-small": 8192,
+    "jina-embeddings-v5-text-nano": 8192,
+    "text-embedding-3-small": 8192,
+    "text-embedding-3-large": 8192,
+    "text-embedding-004": 8192,
+    "gemini-embedding-001": 2048,
+    "nomic-embed-text": 8192,
+    "all-MiniLM-L6-v2": 512,
+    "all-mpnet-base-v2": 512,
+}
 
 
 def for_model(name: str) -> ChunkConfig:

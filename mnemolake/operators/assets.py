@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -66,3 +66,59 @@ def filter_assets(df: DataFrame, needle: str = "", tag: str | None = None) -> Da
     low = F.lower(F.concat_ws(" ", "title", "type", F.array_join("tags", " ")))
     out = df.where(F.contains(low, F.lit(needle.lower()))) if needle else df
     return out.where(F.array_contains("tags", tag)) if tag else out
+
+
+def build_briefs(facts: DataFrame, created_at: str) -> DataFrame:
+    """BRIEF rows of summaries (query, profile, hits, sources, takeaways, evidence, reusable), one of each search.
+
+    The summary is made of the takeaways without their sources, or names the query where there are none.
+    """
+    takeaways = F.slice("takeaways", 1, 4)
+    plain = X.trim(F.array_join(F.transform(takeaways, lambda t: F.regexp_replace(t, r"^[^:]+:\s*", "")), " "))
+    told = F.when(plain != "", plain).otherwise(F.concat(F.lit("Brief for "), "query"))
+    tags = X.tags(F.concat_ws(" ", "query", F.array_join(takeaways, " "), F.array_join(F.transform("sources", lambda s: s["source"]), " ")))
+    return facts.select(
+        F.sha2(F.concat_ws(":", F.lit("brief"), "query", "profile", F.lit(created_at)), 256).alias("id"), F.concat("query", F.lit(" brief")).alias("title"), X.clean_snippet(told, 260).alias("summary"), "query", "profile",
+        F.lit(created_at).alias("created_at"), F.col("hits").cast("int").alias("hits"), "sources", takeaways.alias("takeaways"), F.slice("evidence", 1, 6).alias("evidence"), F.slice("reusable", 1, 4).alias("reusable"), tags.alias("tags"),
+    )
+
+
+def memory_rows(assets: DataFrame, kind: str) -> DataFrame:
+    """Assets (id, title, text, tags; memory_id and original_scope of pins, query and profile of briefs) as rows to be stored."""
+    short = F.substring("id", 1, 8)
+    own = [F.lit("asset").alias("source"), F.col("id").alias("assetId"), F.lit(kind).alias("assetType"), "title"]
+    more = ["query", "profile", "tags"] if kind == "memory-brief" else [F.col("memory_id").alias("originalMemoryId"), F.col("original_scope").alias("originalScope"), "tags"]
+    prefix = "asset:brief:" if kind == "memory-brief" else "asset:"
+    return assets.select("text", F.lit("decision").alias("category"), F.concat(F.lit(prefix), short).alias("scope"), F.lit(IMPORTANCE[kind]).alias("importance"), F.to_json(F.struct(*own, *more)).alias("metadata"))
+
+
+def summary_line(kind: str, scope: Column) -> Column:
+    """One line on an asset: id, kind, title, scope and day."""
+    place = F.when(F.coalesce(scope, F.lit("")) != "", F.substring(scope, 1, 24)).otherwise("brief") if kind == "brief" else scope
+    return F.concat(F.substring("id", 1, 8), F.lit(f"  {kind:<5}  "), "title", F.lit("  ["), place, F.lit("]  "), F.substring("created_at", 1, 10))
+
+
+def save(assets: DataFrame, path: str) -> None:
+    """Adds assets as JSON lines to the folder."""
+    assets.write.mode("append").json(path)
+
+
+def read(spark: SparkSession, path: str, schema: str, limit: int = 20) -> DataFrame:
+    """The newest assets of a folder; lines that are no JSON are left out."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return rows.where("id is not null").orderBy(F.desc("created_at"), "id").limit(limit)
+
+
+def find_pin(pins: DataFrame, wanted: str) -> DataFrame:
+    """The pin whose id is `wanted` or begins with it; no row if there is none, an error if there are several."""
+    found = pins.where(F.col("id") == wanted)
+    found = found if found.limit(1).count() else pins.where(F.col("id").startswith(wanted))
+    if found.limit(2).count() > 1:
+        raise ValueError(f"ambiguous pin id prefix: {wanted}")
+    return found
+
+
+def clean_dirty(briefs: DataFrame, memories: DataFrame, limit: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(briefs that stay, briefs for the archive with their reasons, memories without the rows of these)."""
+    bad = dirty_briefs(briefs, limit)
+    return briefs.join(F.broadcast(bad.select("id")), "id", "left_anti"), bad, memories.join(F.broadcast(bad.select("scope").distinct()), "scope", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CASE = "name string, expect_any array<string>, expect_all array<string>, expect_scopes array<string>, forbid array<string>"
@@ -20,3 +20,24 @@ def score_cases(cases: DataFrame, results: DataFrame) -> DataFrame:
     score = share(found("expect_any"), "expect_any", 0.4) + share(found("expect_all"), "expect_all", 0.3) + share(F.when(F.col("hits") > 0, scopes).otherwise(0), "expect_scopes", 0.2) + F.when(F.col("hits") > 0, 0.1).otherwise(0.0) - F.when(bad, 0.3).otherwise(0.0)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     return c.select("name", F.round(score, 6).alias("score"), ((F.round(score, 9) >= 0.7) & ~bad).alias("passed"), F.col("hits").cast("long").alias("hits"))
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """CASE columns, with query, profile, scope, limit and notes, of a JSON array of cases; lists that are missing are empty."""
+    source = "name string, query string, profile string, scope string, `limit` int, expectAny array<string>, expectAll array<string>, expectScopePrefixes array<string>, forbid array<string>, notes string"
+    j = spark.read.schema(source).option("multiLine", True).json(path)
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    return j.select("name", "query", F.coalesce("profile", F.lit("default")).alias("profile"), "scope", F.coalesce("limit", F.lit(5)).alias("limit"), some("expectAny").alias("expect_any"), some("expectAll").alias("expect_all"), some("expectScopePrefixes").alias("expect_scopes"), some("forbid").alias("forbid"), "notes")
+
+
+def totals(scores: DataFrame) -> DataFrame:
+    """cases, passed, average score."""
+    return scores.agg(F.count(F.lit(1)).alias("cases"), F.count_if("passed").alias("passed"), F.round(F.coalesce(F.avg("score"), F.lit(0.0)), 6).alias("average"))
+
+
+def report(scores: DataFrame, generated: str) -> list[str]:
+    """The lines of a report: totals, and a table row for each case; cases are few."""
+    t = totals(scores).first()
+    rows = scores.orderBy("name").collect()
+    head = ["# Evaluation", "", f"- Generated: {generated}", f"- Cases: {t.cases}", f"- Passed: {t.passed}/{t.cases}", f"- Average score: {t.average * 100:.1f}%", "", "| Case | Score | Pass | Hits |", "|-|-|-|-|"]
+    return head + [f"| {r.name} | {r.score * 100:.0f}% | {'yes' if r.passed else 'no'} | {r.hits} |" for r in rows]

@@ -1,0 +1,79 @@
+"""From files to stored rows: read, pair, cut, embed, append, mark."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.chunking import CONVERSATION, MARKDOWN, ChunkConfig, chunked
+from ..functions.embedding import Embedder, with_vectors
+from ..operators import tracker
+from ..operators.store import Store, new_files
+from ..operators.turns import pair_turns
+from ..sources import transcripts as R
+
+LEDGER = "path string, size long, mtime_ms double, chunks long, ingested_at string"
+#: What reads each kind of source, which files it takes and how its rows are cut.
+CONVERSATIONS = {"cc": R.read_cc, "codex": R.read_codex, "gemini": R.read_gemini}
+GLOBS = {"cc": "*.jsonl", "codex": "*.jsonl", "gemini": "session-*.json", "markdown": "*.md", "generic": "*.{txt,md,json}"}
+
+
+def detect(spark: SparkSession, path: str) -> str:
+    """The kind of source that a folder holds, by the names and first records of its files."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("n"))
+    found = names.agg(F.count_if(F.col("n").rlike(r"^session-.*\.json$")).alias("gemini"), F.count_if(F.col("n").rlike(r"^rollout-.*\.jsonl$")).alias("codex"), F.count_if(F.col("n").endswith(".jsonl")).alias("cc"), F.count_if(F.col("n").endswith(".md")).alias("markdown")).first().asDict()
+    return next((kind for kind in ("gemini", "codex", "cc", "markdown") if found[kind]), "generic")
+
+
+def long_parts(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
+    """df (file, text, ...) with texts beyond cfg.size cut into chunks, each a row with its place in `part`."""
+    whole = df.where(F.length("text") <= cfg.size).withColumn("part", F.lit(0).cast("long"))
+    cut = chunked(df.where(F.length("text") > cfg.size), cfg)
+    return whole.unionByName(cut.select(*(F.col("chunk").alias("text") if c == "text" else c for c in df.columns), F.col("chunk_ix").cast("long").alias("part")))
+
+
+def read_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """file, text, scope, metadata of everything that the files of a folder hold, cut to size.
+
+    Turns are paired, and pairs and sections beyond their size are cut, as are long texts of other files.
+    """
+    if kind in CONVERSATIONS:
+        turns = CONVERSATIONS[kind](spark, path)
+        pairs = pair_turns(turns, "file", "seq").select("file", F.col("pair").alias("text"), "session")
+        rows = long_parts(pairs, CONVERSATION)
+        scope = F.concat(F.lit(f"{kind}:"), F.substring("session", 1, 8))
+        meta = F.to_json(F.struct(F.lit(kind).alias("source"), F.element_at(F.split("file", "/"), -1).alias("file"), "session"))
+    elif kind == "markdown":
+        rows = long_parts(R.read_markdown(spark, path).select("file", "heading", "text"), MARKDOWN)
+        scope = F.lit("memory")
+        meta = F.to_json(F.struct(F.lit("memory").alias("source"), F.element_at(F.split("file", "/"), -1).alias("file"), "heading"))
+    else:
+        rows = long_parts(R.read_generic(spark, path).select("file", "text"), MARKDOWN)
+        scope = F.lit("generic")
+        meta = F.to_json(F.struct(F.lit("generic").alias("source"), F.element_at(F.split("file", "/"), -1).alias("file")))
+    return rows.select("file", "text", scope.alias("scope"), meta.alias("metadata"), "part")
+
+
+def changed_files(spark: SparkSession, path: str, kind: str, ledger: DataFrame) -> DataFrame:
+    """path, size, mtime_ms of the files that are new or have changed since they were marked."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", kind in ("codex", "gemini")).option("pathGlobFilter", GLOBS[kind]).load(path)
+    files = found.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").cast("double").alias("mtime_ms"))
+    return new_files(files, ledger)
+
+
+def ingest(spark: SparkSession, path: str, store: Store, ledger: DataFrame, embedder: Embedder, now_ms: int, now: str, kind: str | None = None) -> tuple[DataFrame, dict]:
+    """(the ledger with what was taken in, totals): reads new and changed files, cuts, embeds and appends them.
+
+    The rows of a changed file are added again beside the old ones, which is what makes the ledger say so. The list of files, not
+    their contents, is what comes to the driver.
+    """
+    kind = kind or detect(spark, path)
+    files = changed_files(spark, path, kind, ledger)
+    names = F.broadcast(files.select(F.col("path").alias("file")))
+    rows = read_rows(spark, path, kind).join(names, "file", "left_semi")
+    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("chunks"))
+    marked = tracker.mark(ledger, files.join(counts.withColumnRenamed("file", "path"), "path", "left").select("path", "size", "mtime_ms", F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks")), now)
+    kept = spark.createDataFrame(marked.collect(), LEDGER)
+    store.append(with_vectors(rows.drop("file", "part"), embedder, dim=store.dim), now_ms)
+    totals = kept.where(F.col("ingested_at") == now).agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks")).first().asDict()
+    return kept, totals

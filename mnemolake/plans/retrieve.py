@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.text import is_noise
+from ..operators.rerank import Scorer, rerank
 from ..operators.search import bm25_topk, vector_topk
 from ..schema import NOW_MS
 from .config import ARM_LIMIT, ARM_MIN_SCORE, RetrievalConfig, clamp_limit
@@ -69,8 +70,12 @@ def diversify(df: DataFrame, threshold: float = 0.85, order: list[Column] | None
     return marked.withColumn("position", F.row_number().over(W.orderBy("_d", "_r")).cast("long")).drop("_r", "_d", "kept")
 
 
-def retrieve(df: DataFrame, vector: list[float], query: list[str], cfg: RetrievalConfig, limit: int = 5, scopes: list[str] | None = None, category: str | None = None, now_ms: int = NOW_MS) -> DataFrame:
-    """At most `limit` rows in order of position, with the score of each stage and of each arm."""
+def retrieve(df: DataFrame, vector: list[float], query: list[str], cfg: RetrievalConfig, limit: int = 5, scopes: list[str] | None = None, category: str | None = None, now_ms: int = NOW_MS, query_text: str | None = None, scorer: Scorer | None = None) -> DataFrame:
+    """At most `limit` rows in order of position, with the score of each stage and of each arm.
+
+    With a scorer and the cross-encoder's setting, its scores of the pool's texts are blended in; without an answer of it
+    the cosines are.
+    """
     limit = clamp_limit(limit)
     of = lambda arm: arm if category is None else arm.where(F.col("category") == category)
     if cfg.mode == "vector":
@@ -84,7 +89,12 @@ def retrieve(df: DataFrame, vector: list[float], query: list[str], cfg: Retrieva
         if cfg.rerank != "none":
             found = found.orderBy(F.desc(F.round("fused", 9)), "ord").limit(2 * limit)
             mixed = S.clamp01(0.7 * F.col("fused") + 0.3 * S.cosine(F.col("vector"), S.query_vector(vector)), F.col("fused"))
-            found, start, before = found.withColumn("reranked", mixed), "reranked", ["reranked", "fused"]
+            if cfg.rerank == "cross-encoder" and scorer:
+                place = W.orderBy(F.desc(F.round("fused", 9)), "ord")
+                found = rerank(found.withColumn("position", F.row_number().over(place).cast("long") - 1), query_text or " ".join(query), scorer, mixed).drop("position", "cross")
+            else:
+                found = found.withColumn("reranked", mixed)
+            start, before = "reranked", ["reranked", "fused"]
     found = score_stages(found, start, cfg, now_ms).where(F.col("score") >= cfg.hard_min_score)
     if cfg.filter_noise:
         found = found.where(~is_noise(F.col("text")))

@@ -225,10 +225,10 @@ def _collapse_sql(c: str) -> str:
 _CLIP = "CASE WHEN length({0}) > {1} THEN substr({0}, 1, {1} - 3) || '...' ELSE {0} END"
 
 
-@query("text_labels", "SELECT doc_id, " + _CLIP.format("c", 180) + " AS snippet, substr(c, 1, 72) AS title, array_to_string(list_slice(list_distinct_in_order, 1, 6), ',') AS tags, k AS cache_key, substr(trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9\\p{Han}]+', '-', 'g'), '-'), 1, 48) AS slug FROM (SELECT doc_id, text, " + _collapse_sql("text") + " AS c, substr(sha256('passage:' || text), 1, 24) AS k, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(regexp_extract_all(text, '(?i)(\\p{Han}{2,}|[a-z0-9._/-]{4,})'), lambda x: [lower(x)])), lambda a, b: CASE WHEN len(a) >= 6 OR list_contains(a, b[1]) THEN a ELSE a || b END) AS list_distinct_in_order FROM documents)")
+@query("text_labels", "SELECT doc_id, " + _CLIP.format("c", 180) + " AS snippet, substr(c, 1, 72) AS title, array_to_string(list_slice(list_distinct_in_order, 1, 6), ',') AS tags, k AS cache_key, substr(trim(regexp_replace(lower(text), '[^a-z0-9\\p{Han}]+', '-', 'g'), '-'), 1, 48) AS slug FROM (SELECT doc_id, text, " + _collapse_sql("text") + " AS c, substr(sha256('passage:' || text), 1, 24) AS k, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(regexp_extract_all(text, '(?i)(\\p{Han}{2,}|[a-z0-9._/-]{4,})'), lambda x: [lower(x)])), lambda a, b: CASE WHEN len(a) >= 6 OR list_contains(a, b[1]) THEN a ELSE a || b END) AS list_distinct_in_order FROM documents)")
 def text_labels(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.clean_snippet(t).alias("snippet"), F.substring(X.collapse(t), 1, 72).alias("title"), F.array_join(X.tags(t), ",").alias("tags"), X.cache_key("passage", t).alias("cache_key"), X.slug(F.substring(t, 1, 200)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", X.clean_snippet(t).alias("snippet"), F.substring(X.collapse(t), 1, 72).alias("title"), F.array_join(X.tags(t), ",").alias("tags"), X.cache_key("passage", t).alias("cache_key"), X.slug(t).alias("slug"))
 
 
 _HITS = "({})".format(" + ".join(f"CASE WHEN contains(lower(s), '{t}') THEN 1 ELSE 0 END" for t in TERMS))
@@ -472,3 +472,6 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: hybrid retrieval with the writing profile."""
     return QUERIES["retrieve_hybrid_writing"](spark, sf_dir)
+
+
+from . import asset_queries  # noqa: E402, F401  (registers its queries)

@@ -76,7 +76,7 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     head = F.col("raw").rlike(r"^#{1,3}\s+.+$")
     lines = lines.withColumn("head", head).withColumn("section", F.sum(F.col("head").cast("int")).over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line", "raw")))), lambda s: s["raw"]), "\n")
-    out = lines.groupBy("file", "section").agg(F.coalesce(F.max(F.when(F.col("head"), F.regexp_replace("raw", r"^#+\s+", ""))), F.first("stem")).alias("heading"), trim(body).alias("body"))
+    out = lines.groupBy("file", "section").agg(F.coalesce(F.max(F.when(F.col("head"), trim(F.regexp_replace("raw", r"^#+\s+", "")))), F.first("stem")).alias("heading"), trim(body).alias("body"))
     return out.where(F.length("body") > 30).select("file", "section", "heading", F.concat(F.lit("["), "heading", F.lit("] "), "body").alias("text"))
 
 

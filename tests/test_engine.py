@@ -17,7 +17,7 @@ from mnemolake.streaming.ingest import stream_files
 
 from .conftest import SF, same_rows
 
-CHECKED = ("vector_topk", "bm25_topk", "hybrid_fusion", "retrieve_hybrid_writing", "mmr_diversity", "noise_filter", "skip_queries", "text_labels", "best_snippet", "pair_turns", "session_fill", "store_stats", "source_map", "dirty_briefs", "eval_scores", "ledger_new_files")
+CHECKED = ("vector_topk", "bm25_topk", "hybrid_fusion", "retrieve_hybrid_writing", "mmr_diversity", "noise_filter", "skip_queries", "text_labels", "best_snippet", "pair_turns", "session_fill", "store_stats", "source_map", "dirty_briefs", "eval_scores", "ledger_new_files", "bm25_from_index", "rerank_blend", "export_files", "brief_asset", "search_rows")
 
 
 @pytest.mark.parametrize("name", CHECKED)
