@@ -10,7 +10,7 @@ from .common import remainder
 #: Labelled documents that a classifier is fitted on at most; they come to the driver.
 SAMPLE = 6000
 #: Characters of a document in the sample at most.
-SAMPLE_CHARS = 1_000_000
+SAMPLE_CHARS = 100_000
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, limit: int = SAMPLE) -> DataFrame:
