@@ -366,7 +366,7 @@ def classes(spark: SparkSession, parsed: DataFrame, write: Callable) -> DataFram
     schema = "host string, token long, path long, n long, chars long, lo long, hi long"
     names = ("host", "page", "tokens", "paths", "chars")
     vectors = streamed(parsed.select(*names), _each(names, _seen, schema), schema).groupBy("host", "token", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
-    vectors = write(vectors.where(F.col("pages") >= MIN_PAGES).unionByName(vectors.where((F.col("pages") < MIN_PAGES) & (F.col("path") != 0)).groupBy("host", "path").agg(F.lit(0).cast("long").alias("token"), F.lit(0).cast("long").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))), "vectors")
+    vectors = write(vectors, "vectors")
     share = lambda c: F.sum(F.when(F.col("pages") >= MIN_PAGES, F.col(c)).otherwise(0)) <= RECUR * F.sum(c)
     own = vectors.where("path <> 0").groupBy("host", "path").agg((share("n") | share("chars")).alias("own")).where("own").select("host", "path")
     members = vectors.where(F.col("pages") >= MIN_PAGES).join(own, ["host", "path"], "left_anti").groupBy("host", "lo", "hi").agg(F.min((F.col("path") != 0).cast("int")).alias("text"), F.collect_set("token").alias("tokens")).where("text = 0 and size(tokens) > 1")
