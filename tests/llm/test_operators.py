@@ -50,6 +50,22 @@ def test_license_gate_loses_nothing():
         assert sum(not re.search(license_scan.gate(), g) for g in own) < license_scan.CONFIRM * len(own)
 
 
+@given(st.lists(st.sampled_from([*license_scan.ANCHORS, *license_scan.gate_words(), "domain", "xunder", "underx", "cc", "public", "é", "\n", " ", "-", "4", "9"]), max_size=6))
+def test_license_quick_gate_equals_gate(parts):
+    for text in ("".join(parts), " ".join(parts), "".join(parts)[1:-1]):
+        assert bool(re.search(license_scan.quick(), text)) == bool(re.search(license_scan.gate(), text))
+
+
+def test_license_lines_and_runs_of_many_marks(spark):
+    """A run comes from its first marked line alone, and lines of its own that overlap it do not count."""
+    notice = "\n".join(["Permission is hereby granted, free of charge,", "to any person obtaining a copy of this software", "and associated documentation files, to deal", "in the Software without restriction."])
+    texts = [notice, notice + "\n" + notice, notice + "\n\n" + notice, "\n".join(["under"] * 60), notice.replace("\n", "\n\n"), None, "", "under\n"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, texts[1]), (None, notice), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.licenses, r.n_licensed) for r in license_scan.scan_licenses(spark, frame).collect())
+    assert [g for g in got if not g[0]] == [(False, 0, "mit", 1), (False, 1, "mit", 2), (False, 1, "mit", 2), (False, 2, "mit", 2), (False, 3, "", 0), (False, 4, "", 0), (False, 5, "", 0), (False, 6, "", 0), (False, 7, "", 0)]
+    assert [g[2:] for g in got if g[0]] == [("", 0), ("mit", 1)]
+
+
 def test_all_notices_are_found_when_wrapped(spark):
     import textwrap
 
