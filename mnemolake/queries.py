@@ -16,8 +16,7 @@ from .streaming import ingest
 
 QUERY_ID = 7
 TERMS = ["the", "of", "thing"]
-BATCH_IDS = (1, 7, 42, 99)
-#: vector_topk_batch_all takes every row whose id this divides as a query.
+#: vector_topk_batch takes every row whose id this divides as a query.
 BATCH_EVERY = 50
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,19 +73,10 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_topk(memories(spark, d), _vector(spark, d), 20).select("id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("vector_topk_batch", f"""WITH qs AS (SELECT vec_id AS qid, embedding AS qe FROM embeddings WHERE vec_id IN {BATCH_IDS}),
-s AS (SELECT qid, e.vec_id AS id, {_DIST.format("e.v", "qs.v")} AS dist FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) e, (SELECT qid, list_transform(qe, lambda x: CAST(x AS DOUBLE)) AS v FROM qs) qs)
-SELECT qid, id, round(dist, 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM s QUALIFY rank <= 10""")
-def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    qs = e.where(F.col("vec_id").isin(*BATCH_IDS)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
-    return search.vector_topk_batch(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), qs, 10).select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
-
-
-@query("vector_topk_batch_all", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+@query("vector_topk_batch", f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS qid, e.vec_id AS id, {_DIST.format("e.v", "q.v")} AS dist FROM e, e q WHERE q.vec_id % {BATCH_EVERY} = 0)
 SELECT qid, id, round(dist, 6) AS distance, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM s QUALIFY rank <= 10""")
-def vector_topk_batch_all(spark: SparkSession, d: str) -> DataFrame:
+def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     qs = e.where(F.col("vec_id") % BATCH_EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
     return search.vector_topk_blocks(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), qs, 10).select("qid", "id", F.round("distance", 6).alias("distance"), "rank")
@@ -400,12 +390,13 @@ def why_matched(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", summary.why_matched(TERMS, F.col("vec_rank").isNotNull(), F.col("bm25_rank").isNotNull()).alias("why"))
 
 
-@query("keyword_fanout", "SELECT line, min(k * 1000000000 + doc_id * 10000 + n) AS first_place FROM (SELECT doc_id, k, n, line FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), (VALUES (0, 'thing'), (1, 'tion'), (2, 'schen')) q(k, word) WHERE contains(lower(line), word)) GROUP BY line")
+@query("keyword_fanout", "SELECT line, k, doc_id, n FROM (SELECT doc_id, k, n, line FROM (SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), (VALUES (0, 'thing'), (1, 'tion'), (2, 'schen')) q(k, word) WHERE contains(lower(line), word)) QUALIFY row_number() OVER (PARTITION BY line ORDER BY k, doc_id, n) = 1")
 def keyword_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """Each line found once, with its first place: word, document, line number."""
     words = F.array(*(F.struct(F.lit(i).alias("k"), F.lit(w).alias("word")) for i, w in enumerate(("thing", "tion", "schen"))))
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     hits = lines.select("doc_id", "n", "line", F.explode(F.filter(words, lambda q: F.contains(F.lower(F.col("line")), q["word"]))).alias("q"))
-    return hits.groupBy("line").agg(F.min(F.col("q.k") * F.lit(1000000000).cast("long") + F.col("doc_id") * 10000 + F.col("n")).alias("first_place"))
+    return hits.groupBy("line").agg(F.min(F.struct("q.k", "doc_id", "n")).alias("first")).select("line", "first.*")
 
 
 # --- assets, evaluation, profiles ------------------------------------------------------------------------------------

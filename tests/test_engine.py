@@ -141,9 +141,13 @@ def test_embeddings_of_benchmark_items(spark):
     assert len(rows) == 3 and all(r.vector == pytest.approx(embedding.hash_embedder()([r.text])[0], abs=1e-6) for r in rows)
 
 
+def test_fanout_names_first_places(spark):
+    same_rows(spark, "keyword_fanout")
+
+
 def test_batch_search_takes_every_fiftieth_row(spark):
-    same_rows(spark, "vector_topk_batch_all")
-    ids = {r.qid for r in queries.QUERIES["vector_topk_batch_all"](spark, SF).collect()}
+    same_rows(spark, "vector_topk_batch")
+    ids = {r.qid for r in queries.QUERIES["vector_topk_batch"](spark, SF).collect()}
     assert ids == {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
     e = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
     qs = e.where("id < 9").selectExpr("id AS qid", "vector AS query")
