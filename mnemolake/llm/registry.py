@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_extract, license_scan, ngram_join, packing, periodic_runs, quality, token_files, toxicity, url_filter
+from . import ann_search, conversation_trie, decontamination, embedding_dedup, html_extract, license_scan, ngram_join, packing, periodic_runs, quality, token_files, toxicity, url_filter
 
-MODULES = (license_scan, ngram_join, token_files, quality, decontamination, embedding_dedup, toxicity, url_filter, html_extract, packing, periodic_runs)
+MODULES = (license_scan, ngram_join, token_files, quality, decontamination, embedding_dedup, toxicity, url_filter, html_extract, packing, periodic_runs, ann_search, conversation_trie)
 
 
 def queries() -> dict:
