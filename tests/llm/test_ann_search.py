@@ -4,7 +4,7 @@ import pytest
 from mnemolake.llm import ann_search
 from mnemolake.llm.common import table
 
-from ..conftest import SF
+from ..conftest import SF, same_rows
 
 
 def exact(rows, asked, k):
@@ -39,6 +39,7 @@ def test_recall_of_whole_table_against_all_cosines(spark):
     assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
     hits = sum(len({d for d, _ in got[q]} & {d for d, _ in want[q]}) for q in want)
     assert hits >= 0.97 * 5 * len(want)
+    same_rows(spark, "op12_ann_search")
     true = {(q, d): s for q, near in want.items() for d, s in near}
     assert all(abs(s - true[q, d]) < 1e-12 for q, near in got.items() for d, s in near if (q, d) in true)
 
