@@ -141,7 +141,8 @@ class WordTokenizer:
         if self.glued:
             for run in ("  ", " \n", "\n ", "\n\n\n"):
                 whole |= pc.match_substring(texts, run).to_numpy(zero_copy_only=False)
-            whole |= pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)
+            for edge in (pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.ends_with(texts, "\n\n")):  # line ends at the end are one piece
+                whole |= edge.to_numpy(zero_copy_only=False)
             cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         else:
             cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
