@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import scratch, streamed, table, written
 from .url_filter import split_url
@@ -43,6 +44,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments reply replies respond disqus toolbar pager pagination".split())
 GENERAL = frozenset("area articles bar block body bottom box button buttons center column container content entry footer form global group header holder inner items left left link links list main menu outer page panel post posts reader right root section site slot text thread title top unit user wrap wrapper".split())
 OUTSIDE = frozenset("header masthead topbar".split())
+#: Names of an article's own parts: on elements of running text inside an article they mark what is no template, however often it recurs.
+OWN = frozenset("byline author authors writer credit credits dateline date published updated headline heading title subtitle lead lede intro summary abstract standfirst dek caption".split())
 #: Elements of running text, and the words that mark even these.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt li td th tr figcaption".split())
 PLAIN = frozenset("ad ads advert adverts advertisement advertising sponsored promo cookie cookies newsletter breadcrumb breadcrumbs".split())
@@ -51,7 +54,8 @@ MAIN = frozenset("article main".split())
 DEPTH = 512
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_STOP = re.compile("[>\"']")
+_STOP = re.compile("=\\s*([\"'])|>")
+_MARKS = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 #: Open elements of these names end when the next one begins, or a block does.
 _CLOSES = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -77,9 +81,12 @@ def _names(value: str, words: frozenset) -> bool:
 
 
 class Element:
-    """path is a hash of the names above and its own; region that of the outermost element of furniture around it, 0 for none."""
+    """path is a hash of the names above and its own; region that of the outermost element of furniture around it, 0 for none.
 
-    __slots__ = ("furniture", "main", "name", "path", "region")
+    marked says that the element itself is furniture, own that it is a named part of an article.
+    """
+
+    __slots__ = ("furniture", "main", "marked", "name", "own", "path", "region")
 
     def __init__(self, name: str, attrs: str, above: Element | None):
         self.name = name
@@ -90,19 +97,23 @@ class Element:
         inside = above.main if above else False
         hidden = bool(found) and ("hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""))
         page = name in ("html", "body")
-        named = bool(words) and not page and (_names(called, PLAIN if name in TEXTUAL else WORDS) or (not inside and _names(called, OUTSIDE)))
+        named = bool(words) and not page and (_names(called, PLAIN if name in TEXTUAL or name in INLINE else WORDS) or (not inside and _names(called, OUTSIDE)))
         outside = not inside and name == "header"
-        self.furniture = bool(above and above.furniture) or name in FURNITURE or found.get("role", "") in ROLES or hidden or named or outside
+        self.marked = name in FURNITURE or found.get("role", "") in ROLES or hidden or named or outside
+        self.furniture = bool(above and above.furniture) or self.marked
         self.region = (above.region if above and above.furniture else self.path) if self.furniture else 0
         self.main = inside or ((name in MAIN or found.get("role") == "main" or found.get("itemprop") == "articlebody") and not self.furniture)
+        self.own = inside and name in TEXTUAL and bool(words) and _names(called, OWN)
 
 
 def tags_of(source: str) -> Iterator[tuple[int, int, str, str, bool]]:
     """(start, end, name, attributes, whether it closes) of each tag, in one pass; comments and the like have an empty name.
 
-    Send a position to go on from there. A tag whose quotes do not end goes up to its first `>`; a `<` after which no `>`
-    comes is text.
+    Send a position to go on from there. A quote opens after an equals sign only. A tag whose quotes do not end goes up to its
+    first `>`; a `<` after which no `>` comes is text. Places from which no tag ends are remembered, so that no other tag looks
+    on from them.
     """
+    dead: set[int] = set()
     at, last, data = 0, source.rfind(">"), source.rfind("]]>")
     while True:
         i = source.find("<", at)
@@ -126,19 +137,18 @@ def tags_of(source: str) -> Iterator[tuple[int, int, str, str, bool]]:
         if not name:
             at = i + 1
             continue
-        stop = name.end()
+        stop, passed = name.end(), []
         while True:
-            m = _STOP.search(source, stop)
-            if not m:  # quotes that do not end
+            passed.append(stop)
+            m = None if stop in dead else _STOP.search(source, stop)
+            end = source.find(m[1], m.end()) if m and m[1] else 0
+            if not m or end < 0:
+                dead.update(passed)
                 stop = source.find(">", name.end())
                 break
-            if m[0] == ">":
+            if not m[1]:
                 stop = m.start()
                 break
-            end = source.find(m[0], m.end())
-            if end < 0:
-                stop = source.find(">", name.end())
-                break
             stop = end + 1
         at = stop + 1
         to = yield i, at, name[0].lower(), source[name.end() : stop], closes
@@ -183,15 +193,18 @@ def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter, l
             if name in INLINE or name in VOID:
                 if name == "br":
                     text.append(" ")
-                continue
+                if not opened[name]:
+                    continue
             if opened[name]:
                 flush()
                 leave(max(i for i, e in enumerate(stack) if e.name == name))
             elif name == "p":
                 flush()
             continue
-        if name in INLINE and name != "wbr":
-            continue
+        if name in INLINE and name != "wbr" and not opened[name]:
+            # inside a line only what is furniture by itself counts as an element, and those of its name in it
+            if not _MARKS.search(attrs) or not Element(name, attrs, stack[-1] if stack else root).marked:
+                continue
         if name in VOID:
             if name == "hr":
                 flush()
@@ -204,7 +217,7 @@ def blocks_of(source: str | None) -> tuple[list[tuple[Element, str]], Counter, l
             tags.send(at)
             continue
         flush()
-        while stack and stack[-1].name == "p":  # a block ends an open paragraph
+        while stack and stack[-1].name == "p" and name not in INLINE:  # a block ends an open paragraph
             leave(len(stack) - 1)
         if name in _CLOSES and _CLOSES[name]:
             for i in range(len(stack) - 1, -1, -1):
@@ -270,12 +283,12 @@ _PAGE = "host string, page long, tokens array<long>, paths array<long>, hints ar
 
 
 def _page(source: str | None) -> tuple[list, list, list, list, list]:
-    """tokens of a page in order; for texts also the path, the hint of the lists (1 furniture, 2 main), its outermost element, and characters."""
+    """tokens of a page in order; for texts also the path, the hint of the lists (1 furniture, 2 main, 4 a part of an article), its outermost element, and characters."""
     tokens, paths, hints, regions, chars = [], [], [], [], []
     for element, text in blocks_of(source)[2]:
         tokens.append(element.path if text is None else _key(str(element.path), text))
         paths.append(element.path if text is not None else 0)
-        hints.append(element.furniture + 2 * element.main)
+        hints.append(element.furniture + 2 * element.main + 4 * element.own)
         regions.append(element.region)
         chars.append(len(text or ""))
     return tokens, paths, hints, regions, chars
@@ -299,11 +312,11 @@ def _each(columns: tuple[str, ...], rows_of, schema: str):
     return run
 
 
-def _seen(host, page, tokens, paths, chars):
-    found = Counter(zip(tokens, paths, chars))
-    for (t, path, c), n in found.items():
+def _seen(host, page, tokens, paths, hints, chars):
+    found = Counter(zip(tokens, paths, hints, chars))
+    for (t, path, hint, c), n in found.items():
         h = xxhash.xxh3_64_intdigest(f"{page} {n}")
-        yield host, t, path, n, n * c, h & 0xFFFFFFFF, h >> 32
+        yield host, t, path, n, n * c, hint >> 2, h & 0xFFFFFFFF, h >> 32
 
 
 def _orders(host, tokens, members):
@@ -359,16 +372,16 @@ def classes(spark: SparkSession, parsed: DataFrame, write: Callable) -> DataFram
 
     Occurrence vectors are never gathered: each is summed into a fingerprint of (page, count), which map-side
     aggregation makes one row per task and token, so a host with most pages is no larger than others. A text whose
-    path mostly holds texts of single pages is no token of a template, however often it recurs. A class has
+    path mostly holds texts of single pages, or is a named part of an article, is no token of a template, however often it recurs. A class has
     two tokens at least, an element among them. It is valid if its tokens repeat in one order on every page, and
     all its occurrences lie in one gap of the other valid classes; the rest go, until none does.
     """
-    schema = "host string, token long, path long, n long, chars long, lo long, hi long"
-    names = ("host", "page", "tokens", "paths", "chars")
-    vectors = streamed(parsed.select(*names), _each(names, _seen, schema), schema).groupBy("host", "token", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    schema = "host string, token long, path long, n long, chars long, part int, lo long, hi long"
+    names = ("host", "page", "tokens", "paths", "hints", "chars")
+    vectors = streamed(parsed.select(*names), _each(names, _seen, schema), schema).groupBy("host", "token", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.max("part").alias("part"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
     vectors = write(vectors, "vectors")
     share = lambda c: F.sum(F.when(F.col("pages") >= MIN_PAGES, F.col(c)).otherwise(0)) <= RECUR * F.sum(c)
-    own = vectors.where("path <> 0").groupBy("host", "path").agg((share("n") | share("chars")).alias("own")).where("own").select("host", "path")
+    own = vectors.where("path <> 0").groupBy("host", "path").agg((share("n") | share("chars") | (F.max("part") == 1)).alias("own")).where("own").select("host", "path")
     members = vectors.where(F.col("pages") >= MIN_PAGES).join(own, ["host", "path"], "left_anti").groupBy("host", "lo", "hi").agg(F.min((F.col("path") != 0).cast("int")).alias("text"), F.collect_set("token").alias("tokens")).where("text = 0 and size(tokens) > 1")
     members = write(members.groupBy("host").agg(F.collect_list("tokens").alias("members")), "classes")
     schema = "host string, cls long, order array<long>"
@@ -392,21 +405,24 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(spark: SparkSession, pages: DataFrame, write: Callable) -> DataFrame:
-    """host, orders (valid classes), keep, leave (slots with main text, slots of furniture), from pages (host, page, html).
+    """host, orders (valid classes), keep, leave (slots with main text, slots of furniture), from pages (host, page, html), those with one `page` being copies that count once.
 
     A slot is a path in a gap between two tokens of a class. It is left out if most of its blocks, and of their characters, recur on other
     pages, in article or main on two others. The lists only hint: their furniture is left out unless its outermost element holds over MOST of the
     host's text in slots that do not recur; what is outside article or main goes too if those hold over half of the rest.
     """
-    parsed = write(streamed(pages, _each(("host", "page", "html"), lambda host, page, html: [(host, page, *_page(html))], _PAGE), _PAGE), "pages")
+    parsed = streamed(pages, _each(("host", "page", "html"), lambda host, page, html: [(host, page, *_page(html))], _PAGE), _PAGE)
+    # each task passes on one of its copies at most, so a page of which there are very many is no single task
+    one = F.row_number().over(Window.partitionBy("host", "page").orderBy("page"))
+    parsed = write(parsed.withColumn("copy", one).where("copy = 1").drop("copy"), "pages")
     orders = classes(spark, parsed, write)
     schema = "host string, slot long, token long, hint int, region long, n long, chars long, first int"
     names = ("host", "tokens", "paths", "hints", "regions", "chars", "orders")
     filled = streamed(with_hosts(parsed.drop("page"), orders, "orders", how="left").select(*names), _each(names, _filled, schema), schema)
     texts = filled.groupBy("host", "slot", "token", "hint", "region").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("first").alias("first"))
     total = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
-    furniture, main = F.col("hint").bitwiseAND(1) == 1, F.col("hint").bitwiseAND(2) == 2
-    again = F.col("pages") >= F.when(main, MIN_PAGES).otherwise(2)
+    furniture, main, part = (F.col("hint").bitwiseAND(bit) == bit for bit in (1, 2, 4))
+    again = ~part & (F.col("pages") >= F.when(main, MIN_PAGES).otherwise(2))
     slots = texts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum("first").alias("pages"), total("n", again).alias("again"), total("chars", again).alias("again_chars"), total("n", furniture).alias("furniture"), total("n", main).alias("main"), F.max("region").alias("region"), F.sum("chars").alias("chars"))
     slots = write(slots.select("host", "slot", "pages", ((F.col("again") > RECUR * F.col("n")) & (F.col("again_chars") > RECUR * F.col("chars"))).alias("recurs"), (F.col("furniture") * 2 > F.col("n")).alias("furniture"), (F.col("main") * 2 > F.col("n")).alias("main"), "region", "chars"), "slots")
     hosts = slots.groupBy("host").agg(F.sum("chars").alias("all"), total("chars", (F.col("slot") != 0) & ~F.col("furniture")).alias("plain"), total("chars", (F.col("slot") != 0) & ~F.col("furniture") & F.col("main")).alias("inside"))
@@ -424,16 +440,13 @@ def main_text(source: str | None, orders: list[list[int]] = (), keep: set[int] =
     inside = any(e.main and not e.furniture for e, _ in blocks)
     listed = lambda e: not e.furniture and (e.main or not inside)
     filled = []
-    if place or keep or leave:
-        tokens = [e.path if t is None else _key(str(e.path), t) for e, t in events]
-        for (e, text), token, gap in zip(events, tokens, _walk(tokens, place)[0]):
-            if text is None or token in place:
-                continue
-            slot = _slot(gap, e.path)
-            if slot in keep or (slot not in leave and listed(e)):
-                filled.append(text)
-    if not filled:  # no template, or all of it recurs, as where a host repeats one page
-        filled = [t for e, t in blocks if listed(e)]
+    tokens = [e.path if t is None else _key(str(e.path), t) for e, t in events]
+    for (e, text), token, gap in zip(events, tokens, _walk(tokens, place)[0]):
+        if text is None or token in place:
+            continue
+        slot = _slot(gap, e.path)
+        if slot in keep or (slot not in leave and listed(e)):
+            filled.append(text)
     return " ".join(filled)
 
 
@@ -448,13 +461,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page (page_id, url, html); further columns are not read.
 
-    A null html is empty and has an empty text, a null url belongs to the host "" like one without `://`. Repeated
-    pages count again in their host's template. Hosts with fewer than three pages have no template of their
+    A null html is empty and has an empty text, a null url belongs to the host "" like one without `://`. Pages of
+    one html count once in their host's template. Hosts with fewer than three different pages have no template of their
     own; the lists alone tell their furniture.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), split_url(F.col("url"))[0].alias("host"))
     with scratch(spark) as write:
-        found = written(spark, templates(spark, own.select("host", F.xxhash64("page_id", "url").alias("page"), "html"), write), "templates")
+        found = written(spark, templates(spark, own.select("host", F.xxhash64("html").alias("page"), "html"), write), "templates")
     return streamed(with_hosts(own, found, "orders", "keep", "leave", how="left").select("page_id", "url", "html", "orders", "keep", "leave"), _extract, "page_id long, url string, text string, n_chars long")
 
 
