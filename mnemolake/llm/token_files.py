@@ -30,6 +30,8 @@ END_ID = 1
 SHARD_TOKENS = 1_000_000
 #: A pair is replaced while it occurs at least so often in its shard; symbols stay below 2^16.
 MIN_COUNT = 24
+#: Documents that a partition sorts on average.
+SORTED_DOCS = 100_000
 RULES_A_ROUND = 4096
 SYMBOLS = 1 << 16
 SHARDS = "part int, local_start long, n_tokens long, shard binary"
@@ -221,7 +223,7 @@ def write_tokens(spark: SparkSession, documents: DataFrame, path: str, tokenizer
     The texts are range-partitioned by doc_id once, and each task streams its own into shards of about shard_tokens.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.count() // SORTED_DOCS)
     docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_encode(tokenizer_path, shard_tokens, min_count), SHARDS).write.parquet(path)
 
 

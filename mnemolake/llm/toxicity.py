@@ -290,8 +290,8 @@ def _offsets(text: str, toxic: np.ndarray) -> list[tuple[int, int]]:
         for m in re.finditer(r"\S+", line):
             places.append((at + m.start(), at + m.end(), line_of))
         at += len(line) + 1
-    if len(places) != len(toxic):  # white space that only one of the two splits at
-        return []
+    if len(places) != len(toxic):
+        raise ValueError(f"{len(places)} words have places, {len(toxic)} have tags")
     last = None
     for (a, b, line), t in zip(places, toxic.tolist()):
         if t and last == line:
