@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +9,15 @@ from . import queries as Q
 from .operators import assets, evaluation, exports, rerank, search, tracker
 from .plans import views
 from .queries import TERMS, memories, query, table
+from .schema import shared_folder
 
 WORDS, PROFILE, CREATED = "the of thing", "writing", "2024-02-01T10:20:30.123Z"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a local one only for a local master that names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(shared or os.path.join(tempfile.gettempdir(), 'mnemolake-shared')).rstrip('/')}/mnemolake/{name}-{uuid.uuid4().hex}"
-
-
 @query("bm25_from_index", Q.SQL["bm25_topk"])
 def bm25_from_index(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("global").alias("scope"))
-    path = _folder(spark, "index")
+    path = shared_folder(spark, "index")
     search.write_index(docs, path)
     return search.bm25_from_index(path, docs.select("id", "scope"), TERMS, 20).select("id", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"), "rank")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def clamp01(v: Column, fallback: float | Column = 0.0) -> Column:
     return F.coalesce(F.element_at(one, 1), other)
 
 
+def once(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f(v), with v standing once in it however often f names it: filters that are pushed below such a column do not multiply it."""
+    return F.element_at(F.transform(F.array(v), f), 1)
+
+
 def query_vector(values: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
@@ -45,8 +52,14 @@ def age_days(ts: Column, now_ms: int) -> Column:
     return F.when(ts > 0, (F.lit(now_ms) - ts) / float(DAY_MS)).otherwise(0.0)
 
 
-def recency(score: Column, ts: Column, now_ms: int, days: float, weight: float) -> Column:
-    return clamp01(score + F.exp(-age_days(ts, now_ms) / days) * weight, score) if days > 0 and weight else score
+def _where_on(on: Column | bool, score: Column, other: Column) -> Column:
+    """score where a stage is on, by a setting that is one for all rows or each row's own."""
+    return F.when(on, score).otherwise(other) if isinstance(on, Column) else score
+
+
+def recency(score: Column, ts: Column, now_ms: int, days: float | Column, weight: float | Column) -> Column:
+    on = (days > 0) & (weight != 0) if isinstance(days, Column) else days > 0 and bool(weight)
+    return _where_on(on, clamp01(score + F.exp(-age_days(ts, now_ms) / days) * weight, score), score) if isinstance(on, Column) or on else score
 
 
 def importance(score: Column, value: Column) -> Column:
@@ -60,14 +73,13 @@ def asset_weight(score: Column, scope: Column, metadata: Column) -> Column:
     return F.when((F.coalesce(source, F.lit("")) == "asset") | scope.startswith("asset:"), clamp01(score * factor, score * 0.75)).otherwise(score)
 
 
-def length_norm(score: Column, text: Column, anchor: float) -> Column:
-    if anchor <= 0:
-        return score
-    return clamp01(score / (1 + 0.5 * F.log2(F.greatest(F.length(text) / float(anchor), F.lit(1.0)))), score * 0.3)
+def length_norm(score: Column, text: Column, anchor: float | Column) -> Column:
+    own = anchor if isinstance(anchor, Column) else float(anchor)
+    return _where_on(anchor > 0, clamp01(score / (1 + 0.5 * F.log2(F.greatest(F.length(text) / own, F.lit(1.0)))), score * 0.3), score) if isinstance(anchor, Column) or anchor > 0 else score
 
 
-def time_decay(score: Column, ts: Column, now_ms: int, days: float) -> Column:
-    return clamp01(score * (0.5 + 0.5 * F.exp(-age_days(ts, now_ms) / days)), score * 0.5) if days > 0 else score
+def time_decay(score: Column, ts: Column, now_ms: int, days: float | Column) -> Column:
+    return _where_on(days > 0, clamp01(score * (0.5 + 0.5 * F.exp(-age_days(ts, now_ms) / days)), score * 0.5), score) if isinstance(days, Column) or days > 0 else score
 
 
 def fused(vec: Column, bm25: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 BRIEF = "id string, title string, summary string, query string, profile string, created_at string, hits int, sources array<struct<source:string,hits:int>>, takeaways array<string>, evidence array<struct<memory_id:string,source:string>>, reusable array<string>, tags array<string>"
+PIN = "id string, type string, created_at string, title string, summary string, snippet string, tags array<string>, memory_id string, original_scope string, promoted double"
 IMPORTANCE = {"memory-brief": 0.72, "pinned-memory": 0.96}
 
 
@@ -54,7 +57,7 @@ def dirty_briefs(briefs: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def union_recent(pins: DataFrame, briefs: DataFrame, limit: int = 12) -> DataFrame:
-    own = ["id", "type", "title", "created_at", "tags"]
+    own = ["id", "type", "title", "created_at", "tags", *(["scope"] if "scope" in pins.columns and "scope" in briefs.columns else [])]
     return pins.select(*own).unionByName(briefs.withColumn("type", F.lit("memory-brief")).select(*own)).orderBy(F.desc("created_at"), "id").limit(limit)
 
 
@@ -98,27 +101,60 @@ def summary_line(kind: str, scope: Column) -> Column:
     return F.concat(F.substring("id", 1, 8), F.lit(f"  {kind:<5}  "), "title", F.lit("  ["), place, F.lit("]  "), F.substring("created_at", 1, 10))
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def save(assets: DataFrame, path: str) -> None:
-    """Adds assets as JSON lines to the folder."""
-    assets.write.mode("append").json(path)
+    """Writes each asset (id, created_at, ...) as a JSON file of its own, named by time and id; what is saved at once comes from a few searches."""
+    fs, where = _files(assets.sparkSession, path)
+    names = F.concat(F.regexp_replace("created_at", "[^0-9A-Za-z]", ""), F.lit("-"), F.col("id"), F.lit(".json"))
+    for row in assets.select(names.alias("name"), F.to_json(F.struct(*assets.columns)).alias("content")).toLocalIterator():
+        out = fs.create(assets.sparkSession._jvm.org.apache.hadoop.fs.Path(where, row.name), True)
+        out.write(bytearray(row.content.encode()))
+        out.close()
 
 
-def read(spark: SparkSession, path: str, schema: str, limit: int = 20) -> DataFrame:
-    """The newest assets of a folder; lines that are no JSON are left out."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows.where("id is not null").orderBy(F.desc("created_at"), "id").limit(limit)
+def newest_files(spark: SparkSession, path: str, limit: int) -> list[str]:
+    """The paths of the last files by name, which begins with the time, from a listing alone; limit at most."""
+    fs, where = _files(spark, path)
+    if not fs.exists(where):
+        return []
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path")  # no content is read
+    return [r.path for r in listed.orderBy(F.desc(F.element_at(F.split("path", "/"), -1))).limit(limit).collect()]
 
 
-def find_pin(pins: DataFrame, wanted: str) -> DataFrame:
-    """The pin whose id is `wanted` or begins with it; no row if there is none, an error if there are several."""
-    found = pins.where(F.col("id") == wanted)
-    found = found if found.limit(1).count() else pins.where(F.col("id").startswith(wanted))
-    if found.limit(2).count() > 1:
+def read(spark: SparkSession, path: str, schema: str, limit: int = 20) -> DataFrame:
+    """The newest assets of a folder: only `limit` files are opened, and those that are no JSON are left out. A folder that is not there is empty."""
+    paths = newest_files(spark, path, limit)
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
+    return rows.where("id is not null").orderBy(F.desc("created_at"), "id")
+
+
+def _matching(spark: SparkSession, path: str, beginning: str) -> list:
+    if not re.fullmatch(r"[0-9A-Za-z_.]+", beginning):
+        raise ValueError(f"not an id: {beginning}")
+    fs, where = _files(spark, path)
+    return list(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(where, f"*-{beginning}*.json")) or []) if fs.exists(where) else []
+
+
+def find_pin(spark: SparkSession, path: str, wanted: str) -> DataFrame:
+    """The pin whose id is `wanted` or begins with it, by the names of files; no row if there is none, an error if there are several."""
+    found = [f.getPath().toString() for f in _matching(spark, path, wanted)]
+    exact = [f for f in found if f.endswith(f"-{wanted}.json")]
+    if len({f.rsplit("-", 1)[1] for f in exact or found}) > 1:
         raise ValueError(f"ambiguous pin id prefix: {wanted}")
-    return found
+    return spark.read.schema(PIN).option("multiLine", True).json(exact or found).limit(1) if found else spark.createDataFrame([], PIN)
 
 
-def clean_dirty(briefs: DataFrame, memories: DataFrame, limit: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(briefs that stay, briefs for the archive with their reasons, memories without the rows of these)."""
-    bad = dirty_briefs(briefs, limit)
-    return briefs.join(F.broadcast(bad.select("id")), "id", "left_anti"), bad, memories.join(F.broadcast(bad.select("scope").distinct()), "scope", "left_anti")
+def archive(spark: SparkSession, path: str, to: str, ids: list[str]) -> None:
+    """Moves the files of assets to another folder; others are not touched."""
+    fs, target = _files(spark, to)
+    fs.mkdirs(target)
+    for i in ids:
+        for f in _matching(spark, path, i):
+            if f.getPath().getName().endswith(f"-{i}.json"):
+                fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(target, f.getPath().getName()))

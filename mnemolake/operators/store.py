@@ -1,87 +1,135 @@
-"""The memory table on disk: snapshots that are replaced as a whole, and the ledger of ingested files."""
+"""The memory table: rows that are only ever added, joined on reading to those that replace or remove them."""
 
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import MEMORY
 from .search import scope_predicate
 
+#: row names one version of an entry, replaces the version that this row takes the place of, file and taken what it was read from and when.
+STORED = T.StructType([*MEMORY.fields, *(T.StructField(c, T.StringType()) for c in ("row", "replaces", "file", "taken"))])
+LEDGER = "path string, size long, mtime_ms double, chunks long, ingested_at string"
+
 
 class Store:
-    """path/v=n holds snapshot n; a write makes n + 1 and readers keep what they read."""
+    """Entries under path/rows and the ledger of files under path/ledger, both plain Parquet that Spark appends to.
+
+    Every change is one append: of new entries, of an entry's next version, which names the one before in `replaces`, or of
+    a row without id that only names what it removes. So a change writes its own rows only, is whole or absent, and
+    appends of several writers do not meet. Two writers that change one entry at once leave both versions.
+    """
 
     def __init__(self, spark: SparkSession, path: str, dim: int | None = None):
         self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        """The last snapshot that was written to its end; 0 if there is none."""
-        if not self._fs.exists(self._fs_path):
-            return 0
-        done = [int(str(s.getPath().getName())[2:]) for s in self._fs.listStatus(self._fs_path) if re.fullmatch(r"v=\d+", str(s.getPath().getName())) and self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max(done, default=0)
+    def _folder(self, name: str, schema) -> DataFrame:
+        there = self._fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"))
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+
+    def live(self) -> DataFrame:
+        """The last version of every entry, with row, file and taken."""
+        rows = self._folder("rows", STORED)
+        gone = rows.where("replaces is not null").select(F.col("replaces").alias("row"))
+        return rows.where("id is not null").join(gone, "row", "left_anti").drop("replaces")
+
+    def versions(self) -> DataFrame:
+        """Every version that was ever stored."""
+        return self._folder("rows", STORED).where("id is not null")
 
     def read(self) -> DataFrame:
-        n = self.version()
-        return self.spark.read.schema(MEMORY).parquet(f"{self.path}/v={n}") if n else self.spark.createDataFrame([], MEMORY)
+        return self.live().select(*MEMORY.fieldNames())
 
-    def replace(self, df: DataFrame) -> int:
-        n = self.version() + 1
-        df.select(*(F.col(f.name).cast(f.dataType) for f in MEMORY.fields)).write.parquet(f"{self.path}/v={n}")
-        return n
+    def _add(self, rows: DataFrame) -> None:
+        have = set(rows.columns)
+        rows.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in STORED.fields)).write.mode("append").parquet(f"{self.path}/rows")
 
-    def append(self, rows: DataFrame, now_ms: int) -> int:
-        """Adds rows; ids, times and metadata that are missing are filled in, ids from the content."""
+    def completed(self, rows: DataFrame, now_ms: int) -> DataFrame:
+        """rows as they are stored: each gets an id of its own where it has none, and the usual category, scope, importance, time and metadata."""
         have = set(rows.columns)
         col = lambda name, other: F.coalesce(F.col(name), other) if name in have else other
+        weight = col("importance", F.lit(0.7)).cast("double")
         full = rows.select(
-            col("id", F.sha2(F.concat_ws("\0", "scope", "text"), 256)).cast("string").alias("id"), "text", "vector",
+            col("id", F.expr("uuid()")).cast("string").alias("id"), "text", "vector",
             col("category", F.lit("fact")).alias("category"), col("scope", F.lit("global")).alias("scope"),
-            col("importance", F.lit(0.7)).alias("importance"), col("timestamp_ms", F.lit(now_ms)).alias("timestamp_ms"), col("metadata", F.lit("{}")).alias("metadata"),
+            F.when(F.isnan(weight) | (F.abs(weight) == float("inf")), 0.7).otherwise(weight).alias("importance"), col("timestamp_ms", F.lit(now_ms)).alias("timestamp_ms"), col("metadata", F.lit("{}")).alias("metadata"),
+            F.expr("uuid()").alias("row"), *(c for c in ("file", "taken") if c in have),
         )
-        if self.dim:
-            full = full.where(F.assert_true(F.size("vector") == self.dim).isNull())
-        return self.replace(self.read().unionByName(full.select(*(F.col(f.name).cast(f.dataType) for f in MEMORY.fields))))
+        return full.where(F.assert_true(F.size("vector") == self.dim).isNull()) if self.dim else full
+
+    def append(self, rows: DataFrame, now_ms: int) -> None:
+        """Adds entries. Equal texts are entries of their own; ids that are given are kept."""
+        self._add(self.completed(rows, now_ms))
+
+    def put_files(self, rows: DataFrame, files: DataFrame, now_ms: int) -> None:
+        """Adds the entries of files (`file`) in place of those that these files gave before, in one append, so it can be repeated after a failure."""
+        old = self.live().where("file is not null").join(files.select("file").distinct(), "file", "left_semi")
+        self._add(self.completed(rows, now_ms).unionByName(self._removal(old), allowMissingColumns=True))
+
+    @staticmethod
+    def _removal(rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(None).cast("string").alias("id"), F.col("row").alias("replaces"))
 
     def get(self, wanted: str, scopes: list[str] | None = None) -> DataFrame:
-        found = by_prefix(self.read(), wanted)
-        n = found.limit(2).count()
-        if n > 1:
+        return self._found(wanted, scopes).select(*MEMORY.fieldNames())
+
+    def _found(self, wanted: str, scopes: list[str] | None = None) -> DataFrame:
+        found = by_prefix(self.live(), wanted)
+        ids = {r.id for r in found.select("id").distinct().limit(2).collect()}
+        if len(ids) > 1:
             raise ValueError(f"ambiguous id prefix: {wanted}")
-        if n and not found.where(scope_predicate(scopes)).count():
+        if ids and scopes and not found.where(scope_predicate(scopes)).count():
             raise PermissionError(f"outside of scopes: {wanted}")
         return found
 
     def delete(self, wanted: str, scopes: list[str] | None = None) -> bool:
-        found = self.get(wanted)
-        if not found.count():
-            return False
-        if scopes and not found.where(F.coalesce("scope", F.lit("global")).isin(scopes)).count():
-            raise PermissionError(f"outside of scopes: {wanted}")
-        self.replace(self.read().join(found.select("id"), "id", "left_anti"))
-        return True
+        return bool(self._remove(self._found(wanted, scopes)))
+
+    def _remove(self, rows: DataFrame) -> int:
+        n = rows.count()
+        if n:
+            self._add(self._removal(rows))
+        return n
 
     def update(self, wanted: str, **patch) -> bool:
-        found = self.get(wanted)
+        found = self._found(wanted)
         if not found.count():
             return False
-        row = found.first()["id"]
-        self.replace(self.read().withColumns({k: F.when(F.col("id") == row, F.lit(v)).otherwise(F.col(k)) for k, v in patch.items() if v is not None}))
+        new = found.withColumns({k: F.lit(v) for k, v in patch.items() if v is not None})
+        self._add(new.withColumn("replaces", F.col("row")).withColumn("row", F.expr("uuid()")))
         return True
 
     def bulk_delete(self, scopes: list[str] | None = None, before_ms: int | None = None) -> int:
-        now = self.read()
-        stay = bulk_delete(now, scopes, before_ms)
-        gone = now.count() - stay.count()
-        if gone:
-            self.replace(stay)
-        return gone
+        return self.bulk_delete_where(bulk_condition(scopes, before_ms))
+
+    def bulk_delete_where(self, condition: Column) -> int:
+        return self._remove(self.live().where(condition))
+
+    def ledger(self) -> DataFrame:
+        """The last mark of every file that was taken in."""
+        all_marks = self._folder("ledger", LEDGER)
+        last = all_marks.withColumn("_n", F.row_number().over(W.partitionBy("path").orderBy(F.desc("ingested_at"), F.desc("mtime_ms"))))
+        return last.where("_n = 1").drop("_n")
+
+    def mark(self, files: DataFrame) -> None:
+        files.select(*(c.split()[0] for c in LEDGER.split(", "))).write.mode("append").parquet(f"{self.path}/ledger")
+
+    def staged(self, rows: DataFrame) -> tuple[DataFrame, str]:
+        """(rows as a table of their own, its path), so that what they were read from is read once."""
+        path = f"{self.path}/intake/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path), path
+
+    def forget(self, path: str) -> None:
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
     def reset(self) -> None:
         self._fs.delete(self._fs_path, True)
@@ -96,13 +144,17 @@ def by_prefix(df: DataFrame, wanted: str) -> DataFrame:
     raise ValueError(f"not an id: {wanted}")
 
 
-def bulk_delete(df: DataFrame, scopes: list[str] | None = None, before_ms: int | None = None) -> DataFrame:
+def bulk_condition(scopes: list[str] | None = None, before_ms: int | None = None) -> Column:
     if not scopes and before_ms is None:
         raise ValueError("bulk delete needs scopes or a time")
     gone = scope_predicate(scopes) if scopes else F.lit(True)
     if before_ms is not None:
         gone = gone & (F.col("timestamp_ms") < before_ms)
-    return df.where(~F.coalesce(gone, F.lit(False)))
+    return F.coalesce(gone, F.lit(False))
+
+
+def bulk_delete(df: DataFrame, scopes: list[str] | None = None, before_ms: int | None = None) -> DataFrame:
+    return df.where(~bulk_condition(scopes, before_ms))
 
 
 def patched(df: DataFrame, patch: DataFrame, fields: list[str]) -> DataFrame:

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.embedding import Embedder, with_vectors
-from ..operators import assets, exports, rerank, summary
+from ..functions.embedding import Embedder, VectorCache, with_vectors
+from ..operators import assets, evaluation, exports, rerank, search, summary
+from ..operators.index import Index, bm25_from_blocks
 from ..operators.store import Store
 from ..schema import NOW_MS
 from . import views
+from .batch import retrieve_batch
 from .config import config, resolve_profile
-from .ingest import LEDGER, ingest
+from .ingest import ingest, stream_ingest
 from .retrieve import reduce_paths, retrieve
 
 
@@ -26,11 +28,13 @@ def query_terms(query: str) -> list[str]:
 class Engine:
     """Everything that one store at `path` is asked for. What is costly is made once, when it is first asked for."""
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, dim: int | None = None, scorer: rerank.Scorer | None = None, now_ms: int = NOW_MS, **overrides):
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, dim: int | None = None, scorer: rerank.Scorer | None = None, now_ms: int = NOW_MS, max_age_ms: int | None = None, **overrides):
         if not path.strip() or path.rstrip("/") in ("", "."):
             raise ValueError(f"not a place to store rows: {path!r}")
         self.spark, self.path, self.embedder, self.dim, self.scorer, self.now_ms, self.overrides = spark, path.rstrip("/"), embedder, dim, scorer, now_ms, overrides
+        self.max_age_ms = max_age_ms
         self.configs: dict = {}
+        self.failures: list[str] = []  # of arms that searches went on without
 
     @cached_property
     def store(self) -> Store:
@@ -42,19 +46,72 @@ class Engine:
             self.configs[name] = config(name, **self.overrides)
         return self.configs[name]
 
-    def ingest(self, folder: str, now: str, kind: str | None = None, ledger: DataFrame | None = None) -> tuple[DataFrame, dict]:
-        return ingest(self.spark, folder, self.store, ledger if ledger is not None else self.spark.createDataFrame([], LEDGER), self.embedder, self.now_ms, now, kind)
+    @cached_property
+    def cache(self) -> VectorCache:
+        return VectorCache(self.spark, f"{self.path}/vectors", self.embedder, self.now_ms, self.dim, self.max_age_ms)
+
+    @cached_property
+    def index(self) -> Index:
+        return Index(self.spark, f"{self.path}/index")
+
+    def ingest(self, folder: str, now: str, kind: str | None = None) -> dict:
+        """Takes in the new and changed files of a folder and brings the index up to date; totals."""
+        told = ingest(self.spark, folder, self.store, self.cache, self.now_ms, now, kind)
+        self.refresh()
+        return told
+
+    def stream(self, folder: str, kind: str, checkpoint: str, now: str) -> list[dict]:
+        told = stream_ingest(self.spark, folder, kind, self.store, self.cache, checkpoint, self.now_ms, now)
+        self.refresh()
+        return told
+
+    def refresh(self) -> None:
+        """Brings the index to what is stored; it knows entries by their versions."""
+        versions = lambda df: df.select(F.col("row").alias("id"), "text")
+        self.index.sync(versions(self.store.live()), versions(self.store.versions()))
+
+    def _keywords(self, df: DataFrame, query: list[str], k: int, scopes: list[str] | None = None) -> DataFrame:
+        """Keyword results by the index, by a scan where there is none, and none at all where they fail: the search goes on without."""
+        try:
+            return bm25_from_blocks(self.index, df, query, k, scopes, "row") if self.index.exists() else search.bm25_topk(df, query, k, scopes)
+        except Exception as e:
+            self.failures.append(f"keywords: {e}")
+            return search.bm25_topk(df.limit(0), query, k)
 
     def search(self, query: str, profile: str | None = None, limit: int = 5, **filters) -> DataFrame:
         """Labelled results in order of position; no row for queries too slight to look anything up."""
         if X.should_skip(query):
-            rows = self.store.read().limit(0)
-            return summary.labelled(retrieve(rows, self._vector("empty"), ["empty"], self.config(profile), limit, now_ms=self.now_ms), [])
-        found = retrieve(self.store.read(), self._vector(query), query_terms(query), self.config(profile), limit, now_ms=self.now_ms, query_text=query, scorer=self.scorer, **filters)
+            return summary.labelled(retrieve(self.store.live().limit(0), None, ["empty"], self.config(profile), limit, now_ms=self.now_ms), [])
+        found = retrieve(self.store.live(), self._vector(query), query_terms(query), self.config(profile), limit, now_ms=self.now_ms, query_text=query, scorer=self.scorer, keywords=self._keywords, **filters)
         return summary.labelled(found, query_terms(query))
 
-    def _vector(self, query: str) -> list[float]:
-        return self.embedder([query])[0]
+    def _vector(self, query: str) -> list[float] | None:
+        """The query's vector; where the embedder fails there is none, and the search goes by keywords."""
+        try:
+            return self.embedder([query])[0]
+        except Exception as e:
+            self.failures.append(f"embedder: {e}")
+            return None
+
+    def search_all(self, queries: DataFrame) -> DataFrame:
+        """The results of a table of queries (qid, query; profile, limit, scopes, category) by one plan, with qid."""
+        asked = with_vectors(queries, self.embedder, "query", dim=self.dim)
+        rows = self.store.live()
+        found = retrieve_batch(rows.drop("id").withColumnRenamed("row", "id"), asked, self.now_ms, self.index if self.index.exists() else None, self.scorer, **self.overrides)
+        named = found.withColumnRenamed("id", "row").join(rows.select("row", "id"), "row").drop("row")
+        return summary.labelled(named, [])
+
+    def evaluate(self, cases: str, generated: str, output: str | None = None, kind: str = "md") -> DataFrame:
+        """Runs the cases of a JSON file as one plan and scores them; the reports, also written to `output` as text or JSON if it is named."""
+        told = evaluation.read_cases(self.spark, cases)
+        scopes = F.when(F.coalesce("scope", F.lit("")) != "", F.array("scope"))
+        found = self.search_all(told.select(F.col("name").alias("qid"), "query", "profile", "limit", scopes.alias("scopes")))
+        results = found.select(F.col("qid").alias("name"), "position", "scope", "text", "metadata")
+        rows = evaluation.case_reports(told, results)
+        reports = self.spark.createDataFrame(rows.collect(), rows.schema)  # one row a case
+        if output:
+            evaluation.write_text(self.spark, output, evaluation.report_text(reports, generated, kind))
+        return reports
 
     def explain(self, query: str, profile: str | None = None, limit: int = 5) -> DataFrame:
         found = self.search(query, profile, limit).withColumn("weight", F.col("importance"))
@@ -83,27 +140,40 @@ class Engine:
             return made
         assets.save(made, f"{self.path}/pins")
         row = made.first()
-        self.store.update(row.memory_id, importance=row.promoted)
+        self.store.update(row.memory_id, importance=float(row.promoted))
         text = assets.pin_text(F.col("title"), F.col("summary"), F.col("snippet"), F.col("original_scope"), F.col("tags"))
         self._index(assets.memory_rows(made.withColumn("text", text), "pinned-memory"))
         return made
 
     def _index(self, rows: DataFrame) -> None:
         self.store.append(with_vectors(rows, self.embedder, dim=self.dim), self.now_ms)
+        self.refresh()
 
     def briefs(self, limit: int = 20) -> DataFrame:
         return assets.read(self.spark, f"{self.path}/briefs", assets.BRIEF, limit)
 
+    def pins(self, limit: int = 20) -> DataFrame:
+        return assets.read(self.spark, f"{self.path}/pins", assets.PIN, limit)
+
+    def get_pin(self, wanted: str) -> DataFrame:
+        return assets.find_pin(self.spark, f"{self.path}/pins", wanted)
+
+    def assets(self, needle: str = "", tag: str | None = None, limit: int = 12) -> DataFrame:
+        """The newest pins and briefs that a word or a tag picks, with a line on each."""
+        pins = self.pins(200).withColumn("scope", F.col("original_scope"))
+        briefs = self.briefs(200).withColumn("scope", F.concat_ws(", ", F.transform("sources", lambda s: s["source"])))
+        found = assets.filter_assets(assets.union_recent(pins, briefs, 400), needle, tag).orderBy(F.desc("created_at"), "id").limit(limit)
+        line = F.when(F.col("type") == "memory-brief", assets.summary_line("brief", F.col("scope"))).otherwise(assets.summary_line("pin", F.col("scope")))
+        return found.withColumn("line", line)
+
     def clean(self, remove: bool = False) -> DataFrame:
-        """The briefs made of assets; with remove they go to the archive and their rows from the store."""
-        briefs = self.spark.createDataFrame(self.briefs(200).collect(), assets.BRIEF)
-        stay, bad, rows = assets.clean_dirty(briefs, self.store.read())
+        """Those of the newest 200 briefs that are made of assets; with remove they go to the archive and their rows from the store. Nothing else is written."""
+        bad = assets.dirty_briefs(self.briefs(200))
         gone = self.spark.createDataFrame(bad.collect(), bad.schema)
         if remove and not gone.isEmpty():
-            assets.save(gone, f"{self.path}/archive")
-            left = self.spark.createDataFrame(stay.collect(), assets.BRIEF)
-            self.store.replace(rows)
-            left.write.mode("overwrite").json(f"{self.path}/briefs")
+            self.store.bulk_delete_where(F.col("scope").isin([r.scope for r in gone.select("scope").collect()]))
+            assets.archive(self.spark, f"{self.path}/briefs", f"{self.path}/archive", [r.id for r in gone.select("id").collect()])
+            self.refresh()
         return gone
 
     def export(self, query: str, created_at: str, profile: str | None = None, limit: int = 8, kind: str = "md") -> DataFrame:
@@ -120,6 +190,7 @@ class Engine:
     def test(self) -> tuple[bool, str]:
         """Whether a search runs from end to end, and if not why."""
         try:
+            self.embedder(["what is stored here at all"])
             return True, str(self.search("what is stored here at all", limit=1).count())
         except Exception as e:
             return False, str(e)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,12 +29,6 @@ def fuse(vec: DataFrame, bm25: DataFrame, config: RetrievalConfig | None = None)
     return joined.select("id", *rest, "vec_score", "vec_rank", "bm25_score", "bm25_rank", S.fused(F.col("vec_score"), F.col("bm25_score")).alias("fused"), order.alias("ord"))
 
 
-def rerank_rrf(df: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion, as an alternative score."""
-    part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
-    return df.withColumn("fused", part("vec_rank") + part("bm25_rank"))
-
-
 def score_stages(df: DataFrame, start: str, cfg: RetrievalConfig, now_ms: int = NOW_MS) -> DataFrame:
     """One column for each stage; the last is the score."""
     ts = F.col("timestamp_ms")
@@ -46,7 +41,7 @@ def score_stages(df: DataFrame, start: str, cfg: RetrievalConfig, now_ms: int =
     }
     out, last = df.withColumnRenamed("importance", "weight"), start
     for name in STAGES:
-        out, last = out.withColumn(name, steps[name](F.col(last))), name
+        out, last = out.withColumn(name, S.once(F.col(last), steps[name])), name
     return out.withColumn("score", F.col("decay"))
 
 
@@ -70,25 +65,26 @@ def diversify(df: DataFrame, threshold: float = 0.85, order: list[Column] | None
     return marked.withColumn("position", F.row_number().over(W.orderBy("_d", "_r")).cast("long")).drop("_r", "_d", "kept")
 
 
-def retrieve(df: DataFrame, vector: list[float], query: list[str], cfg: RetrievalConfig, limit: int = 5, scopes: list[str] | None = None, category: str | None = None, now_ms: int = NOW_MS, query_text: str | None = None, scorer: Scorer | None = None) -> DataFrame:
+def retrieve(df: DataFrame, vector: list[float] | None, query: list[str], cfg: RetrievalConfig, limit: int = 5, scopes: list[str] | None = None, category: str | None = None, now_ms: int = NOW_MS, query_text: str | None = None, scorer: Scorer | None = None, keywords: Callable[..., DataFrame] = bm25_topk) -> DataFrame:
     """At most `limit` rows in order of position, with the score of each stage and of each arm.
 
     With a scorer and the cross-encoder's setting, its scores of the pool's texts are blended in; without an answer of it
-    the cosines are.
+    the cosines are. `keywords` gives the keyword results, as bm25_topk does. A search without a vector goes by keywords alone.
     """
     limit = clamp_limit(limit)
     of = lambda arm: arm if category is None else arm.where(F.col("category") == category)
+    near = lambda k, least: vector_topk(df, vector, k, least, scopes) if vector else vector_topk(df.limit(0), [0.0], k, least)
     if cfg.mode == "vector":
-        found = of(vector_topk(df, vector, limit, ARM_MIN_SCORE["vector"], scopes))
+        found = of(near(limit, ARM_MIN_SCORE["vector"]))
         found = found.withColumn("vec_score", F.col("score")).withColumn("vec_rank", F.col("rank")).withColumn("bm25_score", F.lit(None).cast("double")).withColumn("bm25_rank", F.lit(None).cast("long")).withColumn("fused", F.col("score")).withColumn("ord", F.col("rank")).drop("score", "rank", "distance")
         start, before = "fused", ["fused"]
     else:
         pool = min(ARM_LIMIT, max(cfg.candidate_pool_size, 2 * limit))
-        fusedrows = fuse(of(vector_topk(df, vector, pool, ARM_MIN_SCORE["hybrid"], scopes)), of(bm25_topk(df, query, pool, scopes))).where(F.col("fused") >= cfg.min_score)
+        fusedrows = fuse(of(near(pool, ARM_MIN_SCORE["hybrid"])), of(keywords(df, query, pool, scopes))).where(F.col("fused") >= cfg.min_score)
         found, start, before = fusedrows, "fused", ["fused"]
         if cfg.rerank != "none":
             found = found.orderBy(F.desc(F.round("fused", 9)), "ord").limit(2 * limit)
-            mixed = S.clamp01(0.7 * F.col("fused") + 0.3 * S.cosine(F.col("vector"), S.query_vector(vector)), F.col("fused"))
+            mixed = S.clamp01(0.7 * F.col("fused") + 0.3 * S.cosine(F.col("vector"), S.query_vector(vector)), F.col("fused")) if vector else F.col("fused")
             if cfg.rerank == "cross-encoder" and scorer:
                 place = W.orderBy(F.desc(F.round("fused", 9)), "ord")
                 found = rerank(found.withColumn("position", F.row_number().over(place).cast("long") - 1), query_text or " ".join(query), scorer, mixed).drop("position", "cross")

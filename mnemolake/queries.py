@@ -465,4 +465,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["retrieve_hybrid_writing"](spark, sf_dir)
 
 
-from . import asset_queries  # noqa: E402, F401  (registers its queries)
+from . import asset_queries, batch_queries, source_queries  # noqa: E402, F401  (register their queries)

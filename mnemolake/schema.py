@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local one only for a local master that names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or os.path.join(tempfile.gettempdir(), 'mnemolake-shared')).rstrip('/')}/mnemolake/{name}-{uuid.uuid4().hex}"
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents joined with embeddings and labels as memory rows; id is the doc_id."""
     d, e, l = (table(spark, sf_dir, t) for t in ("documents", "embeddings", "labels"))

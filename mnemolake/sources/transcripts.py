@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,14 +15,28 @@ LEAST_BYTES = {"cc": 500, "codex": 200, "gemini": 100}
 
 def whole_files(spark: SparkSession, path: str, glob: str, recursive: bool = False, least: int = 0) -> DataFrame:
     """file, content, size, modified of the text files whose names fit the glob."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).option("ignoreMissingFiles", True)
-    out = read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
-    return out.where(F.col("size") >= least)
+    read = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).option("ignoreMissingFiles", True)
+    return file_rows(read.load(path)).where(F.col("size") >= least)
 
 
-def _lines(files: DataFrame) -> DataFrame:
+def file_rows(files: DataFrame) -> DataFrame:
+    """file, content, size, modified of a binary file source, a row a file even where the content is not asked for."""
+    return files.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def large_enough(files: DataFrame, kind: str) -> DataFrame:
+    return files.where(F.col("size") >= LEAST_BYTES.get(kind, 0))
+
+
+def _counted(parsed: DataFrame, watch: Observation | None) -> DataFrame:
+    """The rows that are JSON; watch gets the number of the others as `broken`, in the pass that reads them."""
+    parsed = parsed.observe(watch, F.count_if(F.col("j").isNull()).alias("broken")) if watch else parsed
+    return parsed.where("j is not null")
+
+
+def _lines(files: DataFrame, watch: Observation | None = None) -> DataFrame:
     lines = files.select("file", F.posexplode(F.split("content", "\n")).alias("line", "raw")).where(trim(F.col("raw")) != "")
-    return lines.select("file", "line", F.try_parse_json("raw").alias("j")).where("j is not null")
+    return _counted(lines.select("file", "line", F.try_parse_json("raw").alias("j")), watch)
 
 
 def _get(column: str, path: str, kind: str = "string"):
@@ -30,8 +44,12 @@ def _get(column: str, path: str, kind: str = "string"):
 
 
 def read_cc(spark: SparkSession, path: str) -> DataFrame:
+    return cc_turns(whole_files(spark, path, "*.jsonl"))
+
+
+def cc_turns(files: DataFrame, watch: Observation | None = None) -> DataFrame:
     """JSON lines of type user or assistant; a content is a string or blocks, of which the texts are joined."""
-    j = _lines(whole_files(spark, path, "*.jsonl", least=LEAST_BYTES["cc"]))
+    j = _lines(large_enough(files, "cc"), watch)
     blocks = _get("j", "$.message.content", "array<struct<type:string,text:string>>")
     joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
     text = F.when(F.schema_of_variant(F.variant_get("j", "$.message.content", "variant")) == "STRING", _get("j", "$.message.content")).otherwise(joined)
@@ -41,8 +59,12 @@ def read_cc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_codex(spark: SparkSession, path: str) -> DataFrame:
+    return codex_turns(whole_files(spark, path, "*.jsonl", recursive=True))
+
+
+def codex_turns(files: DataFrame, watch: Observation | None = None) -> DataFrame:
     """Response items with typed blocks, and user events unless they repeat the turn before."""
-    j = _lines(whole_files(spark, path, "*.jsonl", recursive=True, least=LEAST_BYTES["codex"]))
+    j = _lines(large_enough(files, "codex"), watch)
     kind = _get("j", "$.type")
     blocks = F.when(kind == "response_item", _get("j", "$.payload.content", "array<struct<type:string,text:string>>"))
     event = F.when((kind == "event_msg") & (_get("j", "$.payload.type") == "user_message"), F.array(F.struct(F.lit("event").alias("type"), _get("j", "$.payload.message").alias("text"))))
@@ -58,8 +80,12 @@ def read_codex(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gemini(spark: SparkSession, path: str) -> DataFrame:
+    return gemini_turns(whole_files(spark, path, "session-*.json", recursive=True))
+
+
+def gemini_turns(files: DataFrame, watch: Observation | None = None) -> DataFrame:
     """One JSON document a file; information messages and texts under ten characters are left out."""
-    f = whole_files(spark, path, "session-*.json", recursive=True, least=LEAST_BYTES["gemini"]).select("file", F.try_parse_json("content").alias("j")).where("j is not null")
+    f = _counted(large_enough(files, "gemini").select("file", F.try_parse_json("content").alias("j")), watch)
     name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.json$", "")
     m = f.select("file", F.coalesce(_get("j", "$.sessionId"), name).alias("session"), F.coalesce(_get("j", "$.startTime"), F.lit("")).alias("event_time"), F.posexplode(_get("j", "$.messages", "array<variant>")).alias("seq", "m"))
     parts = F.array_join(F.transform(F.filter(_get("m", "$.content", "array<struct<text:string>>"), lambda x: x["text"].isNotNull()), lambda x: x["text"]), "\n")
@@ -85,8 +111,12 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_generic(spark: SparkSession, path: str, glob: str = "*.{txt,md,json}") -> DataFrame:
+    return generic_texts(whole_files(spark, path, glob))
+
+
+def generic_texts(files: DataFrame) -> DataFrame:
     """file, text of texts of 50 characters or more; JSON arrays become paragraphs of their items."""
-    f = whole_files(spark, path, glob).where(F.length(trim(F.col("content"))) >= 50)
+    f = files.where(F.length(trim(F.col("content"))) >= 50)
     items = F.try_variant_get(F.try_parse_json("content"), "$", "array<variant>")
 
     def shown(x):

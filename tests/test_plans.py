@@ -30,15 +30,15 @@ def engine(spark, tmp_path_factory):
 def test_ingest_reads_pairs_cuts_and_marks(spark, engine):
     e, top = engine
     assert [ingest.detect(spark, str(top / x)) for x in ("turns", "notes")] == ["cc", "markdown"]
-    ledger, one = e.ingest(str(top / "turns"), "2024-01-01")
-    ledger, two = e.ingest(str(top / "notes"), "2024-01-02", ledger=ledger)
+    one, two = e.ingest(str(top / "turns"), "2024-01-01"), e.ingest(str(top / "notes"), "2024-01-02")
     rows = e.store.read().collect()
     assert one["files"] == two["files"] == 1 and one["chunks"] + two["chunks"] == len(rows) and one["chunks"] >= 3 and two["chunks"] >= 4
+    assert one["broken"] == 1 and one["cut"] >= 1 and one["embedded"] == one["chunks"]
     assert all(len(r.vector) == 32 and len(r.text) <= 2000 for r in rows) and {r.scope for r in rows} == {"cc:abcdefgh", "memory"}
-    again, none = e.ingest(str(top / "notes"), "2024-01-03", ledger=ledger)
-    assert none["files"] == 0 and tracker.stats(again).first().files == 2
+    assert e.ingest(str(top / "notes"), "2024-01-03")["files"] == 0 and tracker.stats(e.store.ledger()).first().files == 2
     (top / "notes" / "n.md").write_text("# Lighthouse\nThe lighthouse lamp is now changed every autumn by three keepers.")
-    assert e.ingest(str(top / "notes"), "2024-01-04", ledger=again)[1] == {"files": 1, "chunks": 1}
+    assert e.ingest(str(top / "notes"), "2024-01-04") == {"files": 1, "chunks": 1, "cut": 0, "broken": 0, "embedded": 1}
+    assert e.store.read().where("scope = 'memory'").count() == 1 and {r.n for r in e.store.read().groupBy("id").count().withColumnRenamed("count", "n").collect()} == {1}
 
 
 def test_search_views_assets_and_exports(spark, engine):
@@ -53,12 +53,14 @@ def test_search_views_assets_and_exports(spark, engine):
     pin = e.pin(found[0].id, "2024-02-02T00:00:00.000Z").first()
     stored = {r.id: r for r in e.store.read().collect()}
     assert stored[found[0].id].importance == pytest.approx(0.95) and {"decision"} == {r.category for r in stored.values() if r.scope.startswith("asset:")}
-    assert assets.find_pin(assets.read(spark, f"{e.path}/pins", "id string, title string, created_at string"), pin.id[:6]).first().id == pin.id
+    assert e.get_pin(pin.id[:6]).first().id == pin.id and [r.id for r in e.pins().collect()] == [pin.id]
+    lines = [r.line for r in e.assets().collect()]
+    assert len(lines) == 2 and lines[0].startswith(pin.id[:8] + "  pin  ") and lines[1].startswith(brief.id[:8] + "  brief") and e.assets("nothing like it").count() == 0
     for kind in ("md", "json"):
         e.export("lighthouse lamp", "2024-02-03T04:05:06.000Z", kind=kind)
     listed = e.exports().orderBy("format").collect()
     assert [(r.format, r.query, r.created_at) for r in listed] == [(k, "lighthouse lamp", "2024-02-03T04:05:06.000Z") for k in ("json", "md")] and e.exports("nothing like it").count() == 0
-    assert e.test()[0] and not Engine(spark, e.path, lambda texts: 1 / 0).test()[0]
+    assert e.test()[0] and e.failures == [] and not Engine(spark, e.path, lambda texts: 1 / 0).test()[0]
     with pytest.raises(ValueError):
         Engine(spark, " ", hash_embedder())
 
