@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_only, remainder, streamed, table
+from .common import give_back, keep_only, remainder, streamed, table
 from .labelled import SAMPLE, training_sample
 
 BUCKETS = 1 << 16
@@ -178,7 +178,12 @@ def fit_quality(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", n_chars.alias("n_chars"))
     sample = training_sample(own, labels, "quality", MODULUS, HELD_OUT, limit)
     rows = sample.select("text", "n_chars", "y", "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return QualityModel(list(zip(rows["text"].to_pylist(), rows["n_chars"].to_pylist(), rows["y"].to_pylist())))
+    docs = list(zip(rows["text"].to_pylist(), rows["n_chars"].to_pylist(), rows["y"].to_pylist()))
+    del rows
+    model = QualityModel(docs)
+    del docs
+    give_back()
+    return model
 
 
 def add_quality(spark: SparkSession, documents: DataFrame, model: QualityModel, name: str = "quality_score") -> DataFrame:

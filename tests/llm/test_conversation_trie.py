@@ -56,7 +56,7 @@ def test_query_equals_sql_and_plain_trie(spark):
     assert out == plain_trie(rows)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_random_conversations(spark, seed):
     rng = random.Random(seed)
     rows = []
