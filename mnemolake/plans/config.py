@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 
@@ -50,3 +51,13 @@ def clamp_limit(value: float | None, low: int = 1, high: int = ARM_LIMIT) -> int
     if value is None or value != value or value in (float("inf"), float("-inf")):
         return low
     return int(min(high, max(low, value // 1)))
+
+
+def parse_limit(value: str | None, fallback: int | None = None, low: int = 1, high: int = 50) -> int:
+    """The whole number that a text begins with, between low and high; the fallback, or an error if there is none, for other texts."""
+    found = re.match(r"\s*([+-]?[0-9]+)", value or "")
+    if found:
+        return min(high, max(low, int(found[1])))
+    if fallback is None:
+        raise ValueError(f"not a whole number: {value!r}")
+    return fallback

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -49,6 +50,35 @@ def distilled(labelled: DataFrame, query: str, profile: str, path: Column) -> Da
     return hits.join(sources).join(taken).join(shown).join(again).select(F.lit(query).alias("query"), F.lit(profile).alias("profile"), "hits", "sources", "takeaways", "evidence", "reusable")
 
 
+def collapsed(text: Column, most: int) -> Column:
+    """The first lines of a text and how many more there are; shorter texts as they are."""
+    lines = F.split(text, "\n", -1)
+    more = (F.size(lines) - most).cast("string")
+    return F.when(F.size(lines) <= most, text).otherwise(F.concat(F.array_join(F.slice(lines, 1, most), "\n"), F.lit("\n\n... ("), more, F.lit(" more lines)")))
+
+
+def card_text(source: Column, metadata: Column, text: Column) -> Column:
+    """What a card shows: an asset's title, or its text without labels, or the text in one line; - where there is none."""
+    plain = X.collapse(F.coalesce(text, F.lit("")))
+    own = X.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"(?i)^\[Pinned Asset\]\s*", ""), "(?i)Original Scope:.*$", ""), "(?i)Snippet:.*$", ""))
+    asset = source == "asset"
+    return F.when(asset & X.metadata_field(metadata, "title").isNotNull(), X.metadata_field(metadata, "title")).when(plain == "", "-").when(asset & (own != ""), own).otherwise(plain)
+
+
+def by_source(labelled: DataFrame) -> DataFrame:
+    """place, source, hits and ids of each source of a search's results, in the order in which sources first come."""
+    source = F.coalesce(F.when(F.col("source") != "", F.col("source")), F.lit("unknown"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("position", F.col("id").cast("string").alias("id")))), lambda x: x["id"])
+    found = labelled.groupBy(source.alias("source")).agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("hits"), ids.alias("ids"))
+    return found.select(F.row_number().over(W.orderBy("first")).cast("long").alias("place"), "source", "hits", "ids")
+
+
+def as_results(entries: DataFrame) -> DataFrame:
+    """Stored entries in the form of results that were not searched for: their importance is their score."""
+    weight = F.col("importance")
+    return entries.withColumn("score", F.when(weight.isNull() | F.isnan(weight) | (weight == 0), 0.7).otherwise(weight)).withColumn("fused", F.col("score"))
+
+
 def distill_lines(row) -> list[str]:
     """A distilled() row as text."""
     if not row.hits:

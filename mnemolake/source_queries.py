@@ -131,3 +131,27 @@ def asset_list(spark: SparkSession, d: str) -> DataFrame:
 @query("asset_tags", f"WITH {Q.MEMORIES_SQL}, {_PINS} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM pn) GROUP BY tag ORDER BY n DESC, tag LIMIT 8")
 def asset_tags(spark: SparkSession, d: str) -> DataFrame:
     return assets.top_tags(assets.build_pins(memories(spark, d), CREATED))
+
+
+@query("card_texts", f"WITH {Q.MEMORIES_SQL}, {_PINS}, t AS (SELECT id, {Q._collapse_sql("concat_ws(chr(10), '[Pinned Asset] ' || substr(c, 1, 72), 'Summary: ' || " + Q._CLIP.format('c', 240) + ", 'Snippet: ' || " + Q._CLIP.format('c', 320) + ", 'Original Scope: ' || scope)")} AS p, c, scope FROM pn) SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(p, '(?i)^\\[Pinned Asset\\]\\s*', ''), '(?i)Original Scope:.*$', ''), '(?i)Snippet:.*$', '')) AS pinned, CASE WHEN c = '' THEN '-' ELSE c END AS plain FROM t")
+def card_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every row as a card, and as that of a pin without a title in its metadata."""
+    pins = assets.build_pins(memories(spark, d), CREATED)
+    pinned = assets.pin_text(F.col("title"), F.col("summary"), F.col("snippet"), F.col("original_scope"), F.array().cast("array<string>"))
+    shown = pins.select(F.col("memory_id").cast("long").alias("id"), views.card_text(F.lit("asset"), F.lit("{}"), pinned).alias("pinned"))
+    return shown.join(memories(spark, d).select("id", views.card_text(F.lit("cc"), F.lit("{}"), F.col("text")).alias("plain")), "id")
+
+
+@query("collapsed_texts", "SELECT doc_id, CASE WHEN len(l) <= 3 THEN text ELSE array_to_string(l[1:3], chr(10)) || chr(10) || chr(10) || '... (' || (len(l) - 3) || ' more lines)' END AS text FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")
+def collapsed_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", views.collapsed(F.col("text"), 3).alias("text"))
+
+
+@query("results_by_source", f"{Q._RES} SELECT row_number() OVER (ORDER BY min(rank)) AS place, source, count(*) AS hits, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS ids FROM r GROUP BY source")
+def results_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return views.by_source(Q._rows(spark, d)).withColumn("ids", F.array_join("ids", ","))
+
+
+@query("entries_as_results", f"WITH {Q.MEMORIES_SQL} SELECT id, importance AS score, importance AS fused FROM mem")
+def entries_as_results(spark: SparkSession, d: str) -> DataFrame:
+    return views.as_results(memories(spark, d)).select("id", "score", "fused")

@@ -39,6 +39,9 @@ def test_profiles():
     assert config.clamp_limit(float("nan")) == 1 and config.clamp_limit(99) == 20
     with pytest.raises(ValueError):
         config.resolve_profile("nope")
+    assert [config.parse_limit(x, 5) for x in (None, "", "x", "7", " 12abc", "-3", "99", "0x1")] == [5, 5, 5, 7, 12, 1, 50, 1]
+    with pytest.raises(ValueError):
+        config.parse_limit("many")
 
 
 def test_skip_on_driver_matches_column():
