@@ -200,18 +200,30 @@ SQL["noise_filter"] = f"SELECT text, {_noise_sql('text')} AS noise FROM (SELECT
 _SKIP_ROWS = {"hi!": True, "thanks": True, "ok": True, "/new": True, "/deploy now": True, "HEARTBEAT 3": True, "new session": True, "abc": True, "你好": True, "2024 11": True, "🎉🎉🎉": True, "aws ssh": False, "hello world": False, "自由意志": False, "/path/x y": False}
 
 
-@query("skip_queries", "SELECT * FROM (VALUES " + ", ".join(f"({_literal(q)}, {s})" for q, s in _SKIP_ROWS.items()) + ") t(q, skip)")
-def skip_queries(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in _SKIP_ROWS], "q string").select("q", X.skips(F.col("q")).alias("skip"))
+_SP = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_TRIMMED = f"regexp_replace(q, '^{_SP}+|{_SP}+$', '', 'g')"
 
 
-_SP = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+@query("skip_queries", f"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents), q AS (SELECT w AS q FROM w UNION SELECT '/' || w FROM w UNION SELECT w || '!' FROM w UNION SELECT text FROM conversations UNION SELECT unnest([{', '.join(map(_literal, _SKIP_ROWS))}]))
+SELECT q, len(t) + len(regexp_extract_all(t, '[\\x{{10000}}-\\x{{10FFFF}}]')) < {X.MIN_QUERY} OR {' OR '.join(f"regexp_matches(t, {_literal(p)})" for p in (*X.SKIPS, X.EMOJI_ONLY))} AS skip FROM (SELECT q, {_TRIMMED} AS t FROM q WHERE q IS NOT NULL)""")
+def skip_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every different turn, and every different word of documents alone, as a command and with a mark, taken as a query; with some that are known."""
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).distinct()
+    asked = words.select(F.explode(F.array("w", F.concat(F.lit("/"), "w"), F.concat("w", F.lit("!")))).alias("q"))
+    known = spark.createDataFrame([(q,) for q in _SKIP_ROWS], "q string")
+    every = asked.unionByName(table(spark, d, "conversations").select(F.col("text").alias("q"))).unionByName(known)
+    return every.where("q is not null").distinct().select("q", X.skips(F.col("q")).alias("skip"))
 
 
 def _collapse_sql(c: str) -> str:
     return f"regexp_replace(regexp_replace({c}, '{_SP}+', ' ', 'g'), '^{_SP}+|{_SP}+$', '', 'g')"
 
 
+def _tags_sql(c: str) -> str:
+    found = f"list_transform(regexp_extract_all({c}, '(?i)(\\p{{Han}}{{2,}}|[a-z0-9._/-]{{4,}})'), lambda x: [lower(x)])"
+    return f"list_slice(list_reduce(list_prepend(CAST([] AS VARCHAR[]), {found}), lambda a, b: CASE WHEN len(a) >= 6 OR list_contains(a, b[1]) THEN a ELSE a || b END), 1, 6)"
+
+
 _CLIP = "CASE WHEN length({0}) > {1} THEN substr({0}, 1, {1} - 3) || '...' ELSE {0} END"
 
 
@@ -407,25 +419,34 @@ def pins(spark: SparkSession, d: str) -> DataFrame:
     return assets.build_pins(memories(spark, d), "2024-02-01T00:00:00.000Z").select(F.col("memory_id").cast("long").alias("memory_id"), "title", "summary", "snippet", "promoted")
 
 
-_BRIEFS = [
-    ("b1", "clean", "all fine", "q", "writing", "2024-01-01", 2, [("cc", 2)], ["cc: x"], [("m1", "cc")], ["a text"], ["alpha", "beta"]),
-    ("b2", "source", "fine", "q", "writing", "2024-01-02", 2, [("asset", 2)], ["cc: x"], [("m1", "cc")], ["a"], ["beta"]),
-    ("b3", "takeaway", "fine", "q", "writing", "2024-01-03", 2, [("cc", 2)], ["asset: x"], [("m1", "cc")], ["a"], ["gamma"]),
-    ("b4", "evidence", "fine", "q", "writing", "2024-01-04", 2, [("cc", 2)], ["cc: x"], [("m1", "asset")], ["a"], ["beta"]),
-    ("b5", "summary", "see [pinned asset] here", "q", "writing", "2024-01-05", 2, [("cc", 2)], [], [], ["a"], []),
-    ("b6", "reusable", "fine", "q", "writing", "2024-01-06", 2, [], [], [], ["x [Memory Brief] y"], ["alpha", "gamma"]),
-]
-_DIRTY = {"b2": "source includes asset", "b3": "takeaways include asset", "b4": "evidence includes asset", "b5": "summary contains asset marker", "b6": "reusable candidate contains asset marker"}
+_BRIEFS_SQL = f"""{MEMORIES_SQL}, bt AS (SELECT *, substr({_collapse_sql('text')}, 1, 72) AS title FROM mem), br AS (SELECT CAST(id AS VARCHAR) AS id, strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d') AS created_at, title,
+ CASE id % 7 WHEN 0 THEN '[Pinned Asset] ' WHEN 1 THEN '[memory brief] ' ELSE '' END || title AS summary, CASE WHEN id % 2 = 0 THEN source ELSE 'cc' END AS s, CASE WHEN id % 3 = 0 THEN source ELSE 'cc' END || ': ' || title AS t, CASE WHEN id % 4 = 0 THEN source ELSE 'cc' END AS e, CASE WHEN id % 11 = 0 THEN 'x [Memory Brief] y' ELSE title END AS r FROM bt)"""
+
+
+def _briefs(spark: SparkSession, d: str) -> DataFrame:
+    """A brief of each memory; what comes from assets is named in some of their fields."""
+    m = memories(spark, d).withColumn("title", X.title_of(F.col("text"))).withColumn("source", F.element_at(F.split("scope", ":"), 1))
+    of = lambda k: F.when(F.col("id") % k == 0, F.col("source")).otherwise("cc")
+    told = F.concat(F.when(F.col("id") % 7 == 0, "[Pinned Asset] ").when(F.col("id") % 7 == 1, "[memory brief] ").otherwise(""), "title")
+    return m.select(
+        F.col("id").cast("string").alias("id"), "title", told.alias("summary"), F.col("title").alias("query"), F.lit("writing").alias("profile"), F.from_unixtime(F.col("timestamp_ms") / 1000, "yyyy-MM-dd").alias("created_at"), F.lit(1).alias("hits"),
+        F.array(F.struct(of(2).alias("source"), F.lit(1).alias("hits"))).alias("sources"), F.array(F.concat(of(3), F.lit(": "), "title")).alias("takeaways"), F.array(F.struct(F.col("id").cast("string").alias("memory_id"), of(4).alias("source"))).alias("evidence"),
+        F.array(F.when(F.col("id") % 11 == 0, "x [Memory Brief] y").otherwise(F.col("title"))).alias("reusable"), X.tags(told).alias("tags"),
+    )
+
+
+_REASONS = {"source includes asset": "s = 'asset'", "takeaways include asset": "starts_with(t, 'asset:')", "evidence includes asset": "e = 'asset'", "summary contains asset marker": f"regexp_matches(summary, '(?i)\\[(Pinned Asset|Memory Brief)\\]')", "reusable candidate contains asset marker": f"regexp_matches(r, '(?i)\\[(Pinned Asset|Memory Brief)\\]')"}
 
 
-@query("dirty_briefs", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{r}', 'asset:brief:{i}')" for i, r in _DIRTY.items()) + ") t(id, reasons, scope)")
+@query("dirty_briefs", f"WITH {_BRIEFS_SQL} SELECT id, reasons, 'asset:brief:' || substr(id, 1, 8) AS scope FROM (SELECT id, concat_ws(',', {', '.join(f"CASE WHEN {c} THEN '{r}' END" for r, c in _REASONS.items())}) AS reasons FROM (SELECT * FROM br ORDER BY created_at DESC, id LIMIT 200)) WHERE reasons <> ''")
 def dirty_briefs(spark: SparkSession, d: str) -> DataFrame:
-    return assets.dirty_briefs(spark.createDataFrame(_BRIEFS, assets.BRIEF)).select("id", F.array_join("reasons", ",").alias("reasons"), "scope")
+    """Those of the newest 200 briefs that assets went into, with the reasons."""
+    return assets.dirty_briefs(_briefs(spark, d)).select("id", F.array_join("reasons", ",").alias("reasons"), "scope")
 
 
-@query("tag_counts", "SELECT * FROM (VALUES ('beta', 3::BIGINT), ('alpha', 2::BIGINT), ('gamma', 2::BIGINT)) t(tag, n)")
+@query("tag_counts", f"WITH {_BRIEFS_SQL} SELECT tag, count(*) AS n FROM (SELECT unnest({_tags_sql('summary')}) AS tag FROM br) GROUP BY tag ORDER BY n DESC, tag LIMIT 8")
 def tag_counts(spark: SparkSession, d: str) -> DataFrame:
-    return assets.top_tags(spark.createDataFrame(_BRIEFS, assets.BRIEF))
+    return assets.top_tags(_briefs(spark, d))
 
 
 _CASES = [("any", ["the", "zzzz"], [], [], []), ("all", [], ["THE", "of"], ["cc:"], []), ("forbidden", ["the"], [], ["memory"], ["of"]), ("scopes", [], [], ["cc:", "nowhere:"], ["zzzz"])]
@@ -442,9 +463,15 @@ def eval_scores(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.score_cases(cases, cases.select("name").join(F.broadcast(r)))
 
 
-@query("profiles", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {config(p).recency_days}::DOUBLE, {config(p).decay_days}::DOUBLE, {config(p).hard_min_score}::DOUBLE)" for p in PROFILES) + ") t(profile, recency_days, decay_days, hard_min_score)")
+@query("profiles", f"""WITH {MEMORIES_SQL}, p(profile, recency_days, decay_days, hard_min_score) AS (VALUES ('default', 30.0::DOUBLE, 120.0::DOUBLE, 0.3::DOUBLE), ('writing', 90, 365, 0.24), ('debug', 7, 30, 0.34), ('fact-check', 21, 45, 0.38)),
+a AS (SELECT p.*, source, greatest(0, ({NOW_MS} - timestamp_ms) / 86400000.0::DOUBLE) AS days FROM mem, p)
+SELECT profile, recency_days, decay_days, hard_min_score, source, count(*) AS n, count(*) FILTER (days <= recency_days) AS fresh, round(avg(exp(-days / recency_days)), 6) AS recency, round(avg(0.5 + 0.5 * exp(-days / decay_days)), 6) AS decay FROM a GROUP BY ALL""")
 def profiles(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(p, float(config(p).recency_days), float(config(p).decay_days), config(p).hard_min_score) for p in PROFILES], "profile string, recency_days double, decay_days double, hard_min_score double")
+    """The profiles, and what their ages make of the memories of each source."""
+    settings = F.array(*(F.struct(F.lit(p).alias("profile"), F.lit(float(c.recency_days)).alias("recency_days"), F.lit(float(c.decay_days)).alias("decay_days"), F.lit(c.hard_min_score).alias("hard_min_score")) for p, c in ((p, config(p)) for p in PROFILES)))
+    aged = memories(spark, d).select(F.element_at(F.split("scope", ":"), 1).alias("source"), S.age_days(F.col("timestamp_ms"), NOW_MS).alias("days"), F.explode(settings).alias("s")).select("source", "days", "s.*")
+    means = (F.exp(-F.col("days") / F.col("recency_days")), 0.5 + 0.5 * F.exp(-F.col("days") / F.col("decay_days")))
+    return aged.groupBy("profile", "recency_days", "decay_days", "hard_min_score", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("days") <= F.col("recency_days")).alias("fresh"), *(F.round(F.avg(m), 6).alias(c) for m, c in zip(means, ("recency", "decay"))))
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------

@@ -110,7 +110,7 @@ def distilled_rows(spark: SparkSession, d: str) -> DataFrame:
     return told.select("query", "profile", "hits", F.array_join(sources, "\n").alias("sources"), F.array_join("takeaways", "\n").alias("takeaways"), F.array_join(evidence, "\n").alias("evidence"), F.array_join("reusable", "\n").alias("reusable"))
 
 
-_TAGS = "list_slice(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(regexp_extract_all(text, '(?i)(\\p{Han}{2,}|[a-z0-9._/-]{4,})'), lambda x: [lower(x)])), lambda a, b: CASE WHEN len(a) >= 6 OR list_contains(a, b[1]) THEN a ELSE a || b END), 1, 6)"
+_TAGS = Q._tags_sql("text")
 _PINS = f"pn AS (SELECT m.id, m.scope, m.text, {Q._collapse_sql('text')} AS c, {_TAGS} AS tags FROM mem m)"
 
 

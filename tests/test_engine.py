@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from mnemolake import queries
 from mnemolake.functions import chunking, embedding
 from mnemolake.functions import text as X
-from mnemolake.operators import search, turns
+from mnemolake.operators import assets, search, turns
 from mnemolake.operators.store import Store, by_prefix
 from mnemolake.plans import config
 from mnemolake.sources import transcripts
@@ -17,7 +17,7 @@ from mnemolake.streaming.ingest import stream_files
 
 from .conftest import SF, same_rows
 
-CHECKED = ("vector_topk", "bm25_topk", "hybrid_fusion", "retrieve_hybrid_writing", "mmr_diversity", "noise_filter", "skip_queries", "text_labels", "best_snippet", "pair_turns", "session_fill", "store_stats", "source_map", "dirty_briefs", "eval_scores", "ledger_new_files", "bm25_from_index", "rerank_blend", "export_files", "brief_asset", "search_rows")
+CHECKED = ("vector_topk", "bm25_topk", "hybrid_fusion", "retrieve_hybrid_writing", "mmr_diversity", "noise_filter", "skip_queries", "text_labels", "best_snippet", "pair_turns", "session_fill", "store_stats", "source_map", "dirty_briefs", "tag_counts", "profiles", "eval_scores", "ledger_new_files", "bm25_from_index", "rerank_blend", "export_files", "brief_asset", "search_rows")
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -49,6 +49,21 @@ def test_skip_on_driver_matches_column():
         assert X.should_skip(q) == skip, q
 
 
+def test_skip_of_known_queries(spark):
+    df = spark.createDataFrame([(q,) for q in queries._SKIP_ROWS], "q string")
+    assert {r.q: r.skip for r in df.select("q", X.skips(F.col("q")).alias("skip")).collect()} == queries._SKIP_ROWS
+
+
+def test_dirty_briefs_name_each_reason(spark):
+    row = lambda i, summary, source, takeaway, evidence, reusable: (i, i, summary, "q", "writing", f"2024-01-0{i[1]}", 2, [(source, 2)], [takeaway], [("m1", evidence)], [reusable], ["a"])
+    rows = [
+        row("b1", "all fine", "cc", "cc: x", "cc", "a text"), row("b2", "fine", "asset", "cc: x", "cc", "a"), row("b3", "fine", "cc", "asset: x", "cc", "a"), row("b4", "fine", "cc", "cc: x", "asset", "a"),
+        row("b5", "see [pinned asset] here", "cc", "cc: x", "cc", "a"), row("b6", "fine", "cc", "cc: x", "cc", "x [Memory Brief] y"), ("b7", "t", "fine", "q", "writing", "2024-01-07", 0, [], [], [], [], []),
+    ]
+    found = {r.id: r.reasons for r in assets.dirty_briefs(spark.createDataFrame(rows, assets.BRIEF)).collect()}
+    assert found == {"b2": ["source includes asset"], "b3": ["takeaways include asset"], "b4": ["evidence includes asset"], "b5": ["summary contains asset marker"], "b6": ["reusable candidate contains asset marker"]}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .\n。", max_size=600))
 def test_chunks_cover_all_but_space(text):
