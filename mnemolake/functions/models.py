@@ -44,6 +44,27 @@ def with_env(value: str, env: dict[str, str] | None = None) -> str:
     return re.sub(r"\$\{([^}]+)\}", of, value)
 
 
+def env_file(content: str, env: dict[str, str] | None = None) -> dict[str, str]:
+    """env (or the environment) with the NAME=value lines of a text; what is set already and not empty stays, of repeated names the first value that is not empty."""
+    out = dict(os.environ if env is None else env)
+    for line in map(str.strip, content.split("\n")):
+        name, sign, value = line.partition("=")
+        if sign and name and not line.startswith("#"):
+            out[name.strip()] = out.get(name.strip()) or value.strip()
+    return out
+
+
+def config_file(exists: Callable[[str], bool], name: str, variable: str, folders: list[str], env: dict[str, str] | None = None) -> str:
+    """The file that the variable names, or else the first that exists of `name` in the folders, in their order; an error if there is none."""
+    known = os.environ if env is None else env
+    if known.get(variable):
+        return os.path.abspath(known[variable])
+    found = next((p for p in (os.path.join(os.path.expanduser(f), name) for f in folders) if exists(p)), None)
+    if found is None:
+        raise FileNotFoundError(f"no {name} in {', '.join(folders)}; set {variable}")
+    return found
+
+
 class TaskEmbedder:
     """Embeds queries and passages, each with its own task, by a call that takes a request body and gives vectors."""
 

@@ -17,7 +17,7 @@ from ..schema import NOW_MS
 from . import views
 from .batch import retrieve_batch
 from .config import config, resolve_profile
-from .ingest import ingest, stream_ingest
+from .ingest import ingest, source_folder, stream_ingest
 from .retrieve import reduce_paths, retrieve
 
 
@@ -55,8 +55,8 @@ class Engine:
         return Index(self.spark, f"{self.path}/index")
 
     def ingest(self, folder: str, now: str, kind: str | None = None) -> dict:
-        """Takes in the new and changed files of a folder and brings the index up to date; totals."""
-        told = ingest(self.spark, folder, self.store, self.cache, self.now_ms, now, kind)
+        """Takes in the new and changed files of a folder ("auto": see source_folder) and brings the index up to date; totals."""
+        told = ingest(self.spark, source_folder(self.spark, folder, kind), self.store, self.cache, self.now_ms, now, kind)
         self.refresh()
         return told
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -13,7 +14,7 @@ from ..operators.store import LEDGER, Store, new_files
 from ..operators.turns import pair_turns
 from ..sources import transcripts as R
 
-__all__ = ["LEDGER", "detect", "ingest", "stream_ingest", "take_in"]
+__all__ = ["LEDGER", "busiest_folder", "detect", "ingest", "source_folder", "stream_ingest", "take_in"]
 
 #: What reads each kind of source, which files it takes and whether those below its folder too.
 CONVERSATIONS = {"cc": R.cc_turns, "codex": R.codex_turns, "gemini": R.gemini_turns}
@@ -33,6 +34,34 @@ def detect(spark: SparkSession, path: str) -> str:
     return next((kind for kind in ("gemini", "codex", "cc", "markdown") if found[kind]), "generic")
 
 
+def busiest_folder(spark: SparkSession, path: str, glob: str = "*.jsonl") -> str | None:
+    """Of the folders directly in `path`, the one with the most files of such a name in it, of equals the first by name; None if there is none. Only names are read."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(F.regexp_replace("path", "/[^/]+$", "").alias("folder"))
+    root = fs.makeQualified(top).toString().rstrip("/")
+    inside = files.where(F.regexp_replace("folder", "/[^/]+$", "") == root)
+    first = inside.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "folder").first()
+    return first.folder if first else None
+
+
+def source_folder(spark: SparkSession, path: str, kind: str | None, projects: str = "~/.claude/projects") -> str:
+    """Where a source is: `path` with the user's home in place of ~, or, for "auto", the busiest folder of `projects` and, of notes, the one named memory in it.
+
+    "auto" is an error for other kinds and where no such folder is.
+    """
+    if path != "auto":
+        return os.path.expanduser(path)
+    if kind not in ("cc", "markdown"):
+        raise ValueError(f"no folder is looked for by itself for {kind}; name it")
+    found = busiest_folder(spark, os.path.expanduser(projects))
+    if found is None:
+        raise ValueError(f"no folder with transcripts in {projects}; name it")
+    return f"{found}/memory" if kind == "markdown" else found
+
+
 def long_parts(df: DataFrame, cfg: ChunkConfig) -> DataFrame:
     """df (file, text, ...) with texts beyond cfg.size cut into chunks, each a row with its place in `part`."""
     whole = df.where(F.length("text") <= cfg.size).withColumn("part", F.lit(0).cast("long"))

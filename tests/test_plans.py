@@ -125,3 +125,33 @@ def test_index_reads_only_the_terms_parts(spark, tmp_path):
     got = search.bm25_from_index(str(tmp_path / "i"), df, ["word7", "lamp"], 5)
     assert [r.id for r in got.orderBy("rank").collect()] == [r.id for r in search.bm25_topk(df, ["word7", "lamp"], 5).orderBy("rank").collect()]
     assert "part#" in got._jdf.queryExecution().toString() and "PartitionFilters: [part" in got._jdf.queryExecution().toString()
+
+
+def test_auto_source_is_the_busiest_folder(spark, tmp_path):
+    from mnemolake.plans.ingest import busiest_folder, source_folder
+
+    top = tmp_path / "projects"
+    assert busiest_folder(spark, str(top)) is None  # not there
+    top.mkdir()
+    assert busiest_folder(spark, str(top)) is None  # empty
+    for folder, names in {"a": ["1.jsonl", "x.txt", "y.txt"], "b b": ["1.jsonl", "2.jsonl"], "c": ["1.jsonl", "2.jsonl"], "d/deep": ["1.jsonl", "2.jsonl", "3.jsonl"], ".": ["1.jsonl", "2.jsonl", "3.jsonl", "4.jsonl"]}.items():
+        (top / folder).mkdir(parents=True, exist_ok=True)
+        for n in names:
+            (top / folder / n).write_text("{}")
+    found = source_folder(spark, "auto", "cc", str(top))
+    assert found.endswith("/projects/b b") and source_folder(spark, "auto", "markdown", str(top)) == f"{found}/memory"
+    assert source_folder(spark, "/in/x", None) == "/in/x" and not source_folder(spark, "~/x", "cc").startswith("~")
+    for path, kind in ((str(top), "codex"), (str(tmp_path / "none"), "cc")):
+        with pytest.raises(ValueError):
+            source_folder(spark, "auto", kind, path)
+
+
+def test_settings_from_files():
+    from mnemolake.functions.models import config_file, env_file
+
+    assert env_file("# no\n A = 1 \nB=x=y\n=z\nword\nC=\nA=2\nD=own", {"D": "kept", "B": ""}) == {"A": "1", "B": "x=y", "C": "", "D": "kept"}
+    there = {"/two/config.json", "/three/config.json"}
+    assert config_file(there.__contains__, "config.json", "PLACE", ["/one", "/two", "/three"], {}) == "/two/config.json"
+    assert config_file(there.__contains__, "config.json", "PLACE", ["/one"], {"PLACE": "/own.json"}) == "/own.json"
+    with pytest.raises(FileNotFoundError):
+        config_file(there.__contains__, "config.json", "PLACE", ["/one"], {})
