@@ -309,6 +309,21 @@ def test_url_rules_and_terms(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values()) and got[99] == ("", "", None, "allow")
 
 
+def test_url_rules_of_contract(spark):
+    """Each rule's own word, in the code and in the SQL; net/de/ is an allow rule, with a longer block rule below it."""
+    import duckdb
+
+    said = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {h + p: v for v, h, p in url_filter.RULES} == said
+    urls = ["http://a.com/en/1", "http://example.com/en/7", "http://b.net/de/casino", "http://a.example.net/de/7", "http://a.example.net/de/81", "http://c.org/es/"]
+    want = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert [(r.rule, r.verdict) for r in url_filter.filter_urls(df).orderBy("page_id").collect()] == want
+    assert con.sql(f"SELECT rule, verdict FROM ({url_filter.SQL['op8_url_filter']}) ORDER BY page_id").fetchall() == want
+
+
 # 9
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li>Home<li>About</ul></nav><div id=x>Menu text</div><div class=box>{0}<p>more &amp; <b>b</b>old<br>line</div><div class=f>Fixed words</div><script>if(a<b)'</p>'</script></body>"
