@@ -11,6 +11,8 @@ from ..operators.turns import fill_session
 
 #: Smaller files hold no conversation.
 LEAST_BYTES = {"cc": 500, "codex": 200, "gemini": 100}
+#: Fixed value: shorter texts are no notes.
+LEAST_CHARS = 50
 
 
 def whole_files(spark: SparkSession, path: str, glob: str, recursive: bool = False, least: int = 0) -> DataFrame:
@@ -116,7 +118,7 @@ def read_generic(spark: SparkSession, path: str, glob: str = "*.{txt,md,json}")
 
 def generic_texts(files: DataFrame) -> DataFrame:
     """file, text of texts of 50 characters or more; JSON arrays become paragraphs of their items."""
-    f = files.where(F.length(trim(F.col("content"))) >= 50)
+    f = files.where(F.length(trim(F.col("content"))) >= LEAST_CHARS)
     items = F.try_variant_get(F.try_parse_json("content"), "$", "array<variant>")
 
     def shown(x):
