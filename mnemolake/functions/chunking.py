@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrow import slices, streamed
+
 ENDS = re.compile(r"[.!?。！？]")
 
 
@@ -101,7 +103,7 @@ def chunked(df: DataFrame, cfg: ChunkConfig = DEFAULT, column: str = "text") ->
     own = ["chunk_ix", "chunk", "start_ix", "end_ix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows, more = [], [[], [], [], []]
             for i, text in enumerate(batch.column(column).to_pylist()):
                 for j, (c, a, b) in enumerate(chunk(text, cfg)):
@@ -113,4 +115,4 @@ def chunked(df: DataFrame, cfg: ChunkConfig = DEFAULT, column: str = "text") ->
             yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, more, kinds)], [*batch.schema.names, *own])
 
     fields = [T.StructField("chunk_ix", T.IntegerType()), T.StructField("chunk", T.StringType()), T.StructField("start_ix", T.IntegerType()), T.StructField("end_ix", T.IntegerType())]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return streamed(df, run, T.StructType([*df.schema.fields, *fields]))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import slices, streamed
 from .chunking import ChunkConfig, chunk, for_model
 from .text import cache_key
 
@@ -92,11 +93,12 @@ def with_vectors(df: DataFrame, embedder: Embedder, column: str = "text", long_t
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = one([t or "" for t in batch.column(column).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], [*batch.schema.names, "vector"])
+        for whole in batches:
+            for batch in slices(whole):
+                found = one([t or "" for t in batch.column(column).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], [*batch.schema.names, "vector"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+    return streamed(df, run, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
 def with_cached_vectors(df: DataFrame, cache: DataFrame, embedder: Embedder, task: str = "passage") -> tuple[DataFrame, DataFrame]:
