@@ -3,7 +3,8 @@
 Rows are dealt into buckets of like length, about BUCKET_ROWS each. For every term and bucket there is a head: how many rows hold
 it, its largest count and the shortest of these rows, which bound what the term can add to a BM25 score there. A
 search scores the buckets of the highest bounds, takes the k-th best score as a floor, and reads the postings of those other
-buckets only whose bound reaches it, so its rows are those of a scan.
+buckets only whose bound reaches it, so its rows are those of a scan. More than FEW queries, which would need nearly all
+buckets, are scored together: the postings of their terms are dealt by bucket, and each task keeps the best rows of every query.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from .search import TERM_PARTS, postings, scope_predicate, tokens
+from .search import TERM_PARTS, best_by_words, postings, scope_predicate, tokens
 
 BUCKET_ROWS = 4096
 #: Buckets that are scored first, for a floor.
 FIRST = 4
+#: Queries that are searched bucket by bucket; more are scored together.
+FEW = 16
 #: Values that are written into a filter as they are; more are joined.
 LITERALS = 1000
 STATS = "segment string, rows long, words double"
@@ -119,12 +122,14 @@ class Index:
         stats = self.statistics()
         df = heads.groupBy("term").agg(F.sum("rows").cast("double").alias("df")).join(F.broadcast(stats)).select("term", S.idf(F.col("n"), F.col("df")).alias("idf"), "average")
         gain = lambda tf, dl: F.col("idf") * tf * (S.K1 + 1) / (tf + S.K1 * (1 - S.B + S.B * dl / F.col("average")))
+        stored = some(self._read("postings"))
+        gone = self._read("ids").where("gone").select("id")
+        if asked.select("qid").distinct().limit(FEW + 1).count() > FEW:
+            return self._together(stored, gone, asked, df, k)
         wanted = asked.join(df, "term")
         bound = gain(F.col("most").cast("double"), F.col("least").cast("double"))
         bounds = heads.where("bucket is not null").join(wanted, "term").groupBy("qid", "bucket").agg(F.sum(bound).alias("bound"))
         bounds = bounds.withColumn("turn", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("bound"), "bucket")))
-        stored = some(self._read("postings"))
-        gone = self._read("ids").where("gone").select("id")
 
         def scored(buckets: DataFrame) -> DataFrame:
             few = [r.bucket for r in buckets.select("bucket").distinct().limit(LITERALS + 1).collect()]
@@ -139,6 +144,14 @@ class Index:
         floor = first.where(F.col("place") == k).select("qid", F.col("raw").alias("floor"))
         return scored(bounds.join(floor, "qid", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK)))
 
+    def _together(self, stored: DataFrame, gone: DataFrame, asked: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+        """search() of many queries; weights are (term, idf, average)."""
+        read = stored.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        if gone.limit(1).count():
+            read = read.join(gone, "id", "left_anti")
+        dealt = read.select("bucket", "id", "dl", "term", "tf").repartition("bucket").sortWithinPartitions("bucket", "id")
+        return best_by_words(dealt, asked, weights.select("term", "idf"), self.statistics().first()["average"], k)
+
     def _parts(self, terms: list[str]) -> list[int]:
         return sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(_part(F.col("t"))).collect()})
 
