@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import give_back, keep_only, remainder, streamed
 
-#: Labelled documents that a classifier is fitted on at most; they come to the driver.
+#: Labelled documents that a classifier is fitted on at most; they go to one task.
 SAMPLE = 6000
 #: Characters of a document in the sample at most.
 SAMPLE_CHARS = 100_000
@@ -27,3 +31,23 @@ def training_sample(documents: DataFrame, labels: DataFrame, column: str, modulu
     one = found.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     several = found.join(F.broadcast(one), "doc_id").where(F.xxhash64("text") == F.col("least")).drop("least", "rows").dropDuplicates(["doc_id"])
     return found.join(F.broadcast(one), "doc_id", "left_anti").unionByName(several)
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """fit(rows of a bounded sample by doc_id and text, without doc_id, its last column), in one task; the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        docs = list(zip(*(rows[c].to_pylist() for c in rows.column_names[:-1])))
+        del held, rows
+        model = pickle.dumps(fit(docs))
+        del docs
+        give_back()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.binary())})
+
+    found = streamed(sample.repartition(1), run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([])

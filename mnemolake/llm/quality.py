@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, keep_only, remainder, streamed, table
-from .labelled import SAMPLE, training_sample
+from .common import keep_only, remainder, streamed, table
+from .labelled import SAMPLE, fitted, training_sample
 
 BUCKETS = 1 << 16
 FACTORS = 8
@@ -146,13 +146,14 @@ class QualityModel:
         stats = np.array([f[2] for f in found])
         self.mean, self.scale = stats.mean(0), stats.std(0) + 1e-6
         rows = [self.row(f) for f in found]
+        del found
+        bucket.cache_clear()
         check = np.arange(len(rows)) % 5 == 0
         self.machine = FactorisationMachine(BUCKETS + N_STATS)
         self.machine.fit([r for r, c in zip(rows, check) if not c], y[~check])
         raw = self.scores_raw([r for r, c in zip(rows, check) if c])
         both = len(set(y[check].tolist())) > 1
         self.a, self.b = logistic_1d(raw, y[check]) if both else (1.0, 0.0)
-        bucket.cache_clear()
 
     def row(self, f: tuple) -> tuple[np.ndarray, np.ndarray]:
         z = np.clip((np.array(f[2]) - self.mean) / self.scale, -4, 4)
@@ -177,13 +178,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
     n_chars = F.col("n_chars").cast("long") if "n_chars" in documents.columns else F.lit(None).cast("long")
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", n_chars.alias("n_chars"))
     sample = training_sample(own, labels, "quality", MODULUS, HELD_OUT, limit)
-    rows = sample.select("text", "n_chars", "y", "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    docs = list(zip(rows["text"].to_pylist(), rows["n_chars"].to_pylist(), rows["y"].to_pylist()))
-    del rows
-    model = QualityModel(docs)
-    del docs
-    give_back()
-    return model
+    return fitted(sample.select("text", "n_chars", "y", "doc_id"), QualityModel)
 
 
 def add_quality(spark: SparkSession, documents: DataFrame, model: QualityModel, name: str = "quality_score") -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, keep_only, remainder, streamed, table
-from .labelled import training_sample
+from .common import keep_only, remainder, streamed, table
+from .labelled import fitted, training_sample
 from .quality import logistic_1d
 
 BUCKETS = 1 << 18
@@ -305,13 +305,7 @@ def _offsets(text: str, toxic: np.ndarray) -> list[tuple[int, int]]:
 def fit_toxicity(documents: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> ToxicityModel:
     """Fits on at most `limit` labelled documents, none of them held out; without evidence the score is a constant."""
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = training_sample(own, labels, "toxic", MODULUS, HELD_OUT, limit).select("text", "y", "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    docs = list(zip(rows["text"].to_pylist(), rows["y"].to_pylist()))
-    del rows
-    model = ToxicityModel(docs)
-    del docs
-    give_back()
-    return model
+    return fitted(training_sample(own, labels, "toxic", MODULUS, HELD_OUT, limit).select("text", "y", "doc_id"), ToxicityModel)
 
 
 def add_toxicity(spark: SparkSession, documents: DataFrame, model: ToxicityModel, name: str = "toxicity_score", spans: str | None = "toxic_spans") -> DataFrame:
