@@ -9,7 +9,6 @@ text is a chain of its own.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -213,6 +212,7 @@ class ToxicityModel:
             return
         chains, tags, plain = [], [], []
         known: dict[str, int] = {}
+        same: dict[str, str] = {}
 
         def mark(w: str) -> int:
             if w not in known:
@@ -221,7 +221,7 @@ class ToxicityModel:
 
         for text, label in docs:
             for line in (text or "").split("\n"):
-                words = list(map(sys.intern, line.split()))  # one string for each different word
+                words = [same.setdefault(w, w) for w in line.split()]  # one string for each different word
                 for i in range(0, len(words), FIT_WORDS):
                     some = words[i : i + FIT_WORDS]
                     t = [mark(w) for w in some] if label else [0] * len(some)
@@ -243,6 +243,7 @@ class ToxicityModel:
             odd = np.maximum.reduceat(marginals(self.field.potentials([w for c in some for w in c]), sizes, self.field.trans), np.cumsum(sizes) - sizes)
             hard += [some[j] for j in np.flatnonzero(odd > 0.1)]
         self.field.cache = {}
+        del plain, same
         self.field.fit(chains + hard, tags + [[0] * len(c) for c in hard], steps=30, rate=0.1)
         self.a, self.b = 1.0, 0.0
         z = self.raw([t for t, _ in docs])
