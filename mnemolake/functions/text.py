@@ -42,7 +42,7 @@ MIN_QUERY = 4
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def utf16_length(c: Column) -> Column:
@@ -89,11 +89,15 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\n+"), trim), lambda s: s != "")
 
 
-def best_snippet(c: Column, query_terms: list[str], n: int = 180) -> Column:
-    """The first of the sentences with the most different query terms."""
+def best_sentence(c: Column, query_terms: list[str]) -> Column:
+    """The first of the sentences with the most different query terms, as (h: minus their number, i: place, s); null without sentences."""
     hits = lambda s: reduce(lambda a, t: a + F.contains(F.lower(s), F.lit(t)).cast("int"), query_terms, F.lit(0))
-    scored = F.transform(sentences(c), lambda s, i: F.struct((-hits(s)).alias("h"), i.alias("i"), s.alias("s")))
-    return clean_snippet(F.coalesce(F.array_min(scored)["s"], c), n)
+    return F.array_min(F.transform(sentences(c), lambda s, i: F.struct((-hits(s)).alias("h"), i.alias("i"), s.alias("s"))))
+
+
+def best_snippet(c: Column, query_terms: list[str], n: int = 180) -> Column:
+    """The best sentence as a snippet; the text itself without sentences."""
+    return clean_snippet(F.coalesce(best_sentence(c, query_terms)["s"], c), n)
 
 
 def is_noise(text: Column, denials: bool = True, questions: bool = True, boilerplate: bool = True) -> Column:

@@ -1,5 +1,8 @@
 import json
+import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,6 +28,17 @@ def test_rows_equal_sql(spark, name):
     same_rows(spark, name)
 
 
+def test_best_snippet_of_odd_rows_equals_sql(spark, tmp_path):
+    """Texts without a sentence give no row, rows of one doc_id give one, and a mark that ends a line is no space."""
+    for f in os.listdir(SF):
+        if f != "documents.parquet":
+            os.symlink(f"{SF}/{f}", tmp_path / f)
+    texts = [(1, None), (2, ""), (3, " \n\t\u00a0\n"), (4, "One. The thing of it."), (4, "A thing. Two."), (4, None), (5, "Same the. Same of."), (5, "Same the. Same of."), (6, "the end \u0085\nno"), (7, "..."), (None, "no id. the"), (None, "of the"), (8, "x" * 179 + "é" * 5), (9, " \n a\r\n\u2028")]
+    ids, texts = zip(*texts)
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    same_rows(spark, "best_snippet", str(tmp_path))
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
